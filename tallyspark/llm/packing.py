@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize, parallelism
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MERGE = 2048, 2048, 3, 2, 6, 4, 8
-CACHED_WORDS = 150_000
+CACHED_WORDS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,34 +40,63 @@ def default_tokenizer() -> str:
 
 
 class WordCache:
-    """ids of whole texts by the tokenizers library, which this tokenizer's rules allow to be put together from
-    those of their blank-separated words: its pattern never crosses white space, and its normaliser works on
-    characters. The cache is bounded; it is emptied when full.
+    """ids of whole texts by the tokenizers library, put together from those of their blank-separated words, which this
+    tokenizer's rules allow: its pattern never crosses white space, and its normaliser works on characters.
+
+    Words are cut further where the rules cut them anyway: a comma or a full stop behind a letter is a piece by itself. What
+    is left is mostly one run of letters, that is one piece, which goes straight to the library's model (in lower case, its bytes
+    spelled as the model spells them); every other word goes through the whole tokenizer. The cache is bounded; it is
+    emptied when full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model, spelled = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        #: how the model spells Latin letters, which need no other normalising than to lower case
+        self.letters = {c: spelled.pre_tokenize_str(chr(c).lower())[0][0] for c in range(65, 256) if chr(c).isalpha()}
+
+    def _learn(self, words) -> None:
+        from array import array
+
+        known, letters, spell, cut = self.known, self.letters, self.model.tokenize, []
+        others, last = set(), chr(255)
+        for word in words:
+            base = word
+            if word[-1:] in (",", ".") and word[-2:-1].isalpha() and word[-2] <= last:
+                base = word[:-1]
+                cut.append((word, base, word[-1]))
+                if word[-1] not in known:
+                    others.add(word[-1])
+                if base in known:
+                    continue
+            if base.isalpha() and max(base) <= last:
+                known[base] = array("I", [t.id for t in spell(base.translate(letters))]).tobytes()
+            else:
+                others.add(base)
+        others = list(others)
+        for at in range(0, len(others), 1024):
+            part = others[at : at + 1024]
+            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
+        for word, base, mark in cut:
+            known[word] = known[base] + known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        import numpy as np
-
         if len(self.known) > CACHED_WORDS:
             self.known = {}
+        known = self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        self._learn({w for words in split for w in words if w not in known})
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def _tokenised(path: str, capacity: int, with_ids: bool):
     def run(batches):
+        import gc
         import os
 
         import numpy as np
@@ -77,6 +106,7 @@ def _tokenised(path: str, capacity: int, with_ids: bool):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = WordCache(path)
+        gc.freeze()  # the cache holds strings and bytes only: nothing in it to look through again and again
         for frame in batches:
             ids, texts = frame["doc_id"].tolist(), [t or "" for t in frame["text"].tolist()]
             for a, b in slices(texts, 500_000):
