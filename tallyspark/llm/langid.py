@@ -19,53 +19,68 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-SAMPLE, WORDS, GRAMS, LONGEST, SHARP, SMOOTH = 1500, 100_000, 60_000, 5, 30, 0.1
+SAMPLE, WORDS, GRAMS, LONGEST, SHARP, SMOOTH = 1000, 100_000, 60_000, 5, 30, 0.1
 
 
 def has_letter(text) -> bool:
     return isinstance(text, str) and any(c.isalpha() for c in text)
 
 
-def _table(hashes, labels, n_langs: int, most: int, least: int):
-    """Sorted keys and their log frequencies in each language, of the ``most`` commonest that occur ``least`` times."""
-    import numpy as np
+class _Counts:
+    """Occurrences of hashes in each language, gathered part by part."""
+
+    def __init__(self, n_langs: int):
+        import numpy as np
+
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros((0, n_langs), np.int64)
+
+    def add(self, hashes, labels) -> None:
+        import numpy as np
+
+        n = self.counts.shape[1]
+        keys, place = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(place * n + labels, minlength=len(keys) * n).reshape(len(keys), n)
+        union = np.union1d(self.keys, keys)
+        total = np.zeros((len(union), n), np.int64)
+        total[np.searchsorted(union, self.keys)] += self.counts
+        total[np.searchsorted(union, keys)] += counts
+        self.keys, self.counts = union, total
+
+    def table(self, most: int, least: int):
+        """Sorted keys and their log frequencies in each language, of the ``most`` commonest that occur ``least`` times."""
+        import numpy as np
 
-    keys, place = np.unique(hashes, return_inverse=True)
-    counts = np.bincount(place * n_langs + labels, minlength=len(keys) * n_langs).reshape(len(keys), n_langs)
-    total = counts.sum(axis=1)
-    chosen = np.flatnonzero(total >= least)
-    chosen = np.sort(chosen[np.lexsort((keys[chosen], -total[chosen]))][:most])
-    logs = np.log((counts[chosen] + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(keys) + 1)))
-    return keys[chosen], logs.astype(np.float32)
+        total = self.counts.sum(axis=1)
+        chosen = np.flatnonzero(total >= least)
+        chosen = np.sort(chosen[np.lexsort((self.keys[chosen], -total[chosen]))][:most])
+        logs = np.log((self.counts[chosen] + SMOOTH) / (self.counts.sum(axis=0) + SMOOTH * (len(self.keys) + 1)))
+        return self.keys[chosen], logs.astype(np.float32)
 
 
 def learn(texts: list[str], langs: list[str]):
     """(languages, word table, n-gram tables from the longest to single characters)."""
     import numpy as np
 
+    from .common import slices
     from .hashing import Characters, Words
 
     names = sorted(set(langs))
     if not names:
         return None
     number = np.array([names.index(x) for x in langs])
-    parts = [(a, min(a + 200, len(texts))) for a in range(0, len(texts), 200)]
-    words, of = [], []
+    parts = list(slices(texts, 500_000))
+    counts = _Counts(len(names))
     for a, b in parts:
         w = Words([t.lower() for t in texts[a:b]])
-        words.append(w.hashes(41))
-        of.append(number[a:b][w.doc])
-    word_table = _table(np.concatenate(words), np.concatenate(of), len(names), WORDS, 2)
-    del words, of
-    grams = []
+        counts.add(w.hashes(41), number[a:b][w.doc])
+    word_table, grams = counts.table(WORDS, 2), []
     for n in range(LONGEST, 0, -1):
-        found, of = [], []
+        counts = _Counts(len(names))
         for a, b in parts:
             c = Characters([t.lower() for t in texts[a:b]])
             h, at = c.grams(n, 7)
-            found.append(h)
-            of.append(number[a:b][c.doc[at]])
-        grams.append(_table(np.concatenate(found), np.concatenate(of), len(names), GRAMS, 1))
+            counts.add(h, number[a:b][c.doc[at]])
+        grams.append(counts.table(GRAMS, 1))
     return names, word_table, grams
 
 
