@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: str | None = None
@@ -81,3 +81,16 @@ def slices(texts: list, most: int = 1_000_000):
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def first_by_hash(rows: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
+    """Of each group the ``most`` distinct ids that come first in the order of a hash: (id_col, group).
+
+    Groups are counted first; only ids whose hash is below a bound that lets about four times as many through are
+    ranked. So what is ranked depends on ``most`` and the number of groups, not on the number of rows.
+    """
+    share = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_group")
+    near = rows.select(id_col, group).join(F.broadcast(counts), F.col(group) == F.col("_group")).filter(share * F.col("_n") < 4 * most + 100)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(id_col, F.lit(5)), id_col))
+    return near.select(id_col, group).distinct().withColumn("_r", rank).filter(F.col("_r") <= most).select(id_col, group)

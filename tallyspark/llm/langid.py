@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import first_by_hash, held_out
 
 SAMPLE, WORDS, GRAMS, LONGEST, SHARP, SMOOTH = 1000, 100_000, 60_000, 5, 30, 0.1
 
@@ -145,11 +145,8 @@ def predict(texts, model):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE):
-    from pyspark.sql import Window
-
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = usable.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    first = first_by_hash(usable, "lang", "doc_id", sample)
     rows = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull()).join(F.broadcast(first), ["doc_id", "lang"])
     rows = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()
     return learn([r["text"] for r in rows], [r["lang"] for r in rows])

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import first_by_hash, held_out
 
 BUCKETS, DIM, GRAMS, TRAIN, EPOCHS, RATE, BOOST, CUTOFF, SURE, SEED = 1 << 17, 8, (3, 4), 1200, 20, 0.2, 4, 0.7, 0.02, 17
 AGAIN, FRESH = 0, 1  # rows of the pseudo-words
@@ -112,8 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN):
     """``train`` on the bounded sample."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1).cast("int")).alias("label"))
     known = known.filter(~held_out())
-    first = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id")
+    first = first_by_hash(known, "label", "doc_id", per_label)
+    sample = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id")
     # a doc_id with several texts stands in the sample once
     rows = sample.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return train([r["text"] or "" for r in rows], [r["label"] for r in rows])
