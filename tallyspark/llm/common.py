@@ -61,6 +61,14 @@ def small_or_plain(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python BATCH_ROWS at a time: the default of 10,000 of them may not fit beside each other."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for small tables whose rows carry much work: a few for each core."""
     return max(8, 2 * spark.sparkContext.defaultParallelism)
@@ -71,6 +79,28 @@ def held_out(column="doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def tidied(run):
+    """A function for mapInPandas that leaves no memory behind in its worker, which goes on to other tasks."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        try:
+            for out in run(batches):
+                yield out
+        finally:
+            gc.collect()
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def slices(texts: list, most: int = 1_000_000):
     """Runs (from, to) of ``texts`` of about ``most`` characters, one text at least."""
     start = size = 0

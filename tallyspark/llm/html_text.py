@@ -19,6 +19,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 # Names of HTML, and the commonest function words of four languages.
 BLOCK_TAGS = set(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -176,5 +178,6 @@ def _extracted(batches):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (empty if none), n_chars of every page."""
+    small_batches(pages.sparkSession)
     given = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return given.mapInPandas(_extracted, "page_id long, url string, text string, n_chars long")
+    return given.mapInPandas(tidied(_extracted), "page_id long, url string, text string, n_chars long")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, held_out
+from .common import first_by_hash, held_out, small_batches, tidied
 
 SAMPLE, WORDS, GRAMS, LONGEST, SHARP, SMOOTH = 1000, 100_000, 60_000, 5, 30, 0.1
 
@@ -154,6 +154,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE):
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
     def run(batches):
@@ -168,4 +169,4 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield out.assign(lang_pred=pd.Series([g[0] for g in got], out.index, dtype=object), score=pd.Series([g[1] for g in got], out.index, dtype=float))
 
     given = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return given.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return given.mapInPandas(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism
+from .common import materialize, parallelism, small_batches, tidied
 
 WEIGHTS, LIMIT, BLOCK, SHARD_SLOTS, MOST_SHARDS, CHUNK_ROWS, SEED = (5.0, 2.0, 1.0), 3.0, 64, 16384, 1024, 4096, 29
 WORD = r"[^\x20\x09-\x0D]+"
@@ -160,6 +160,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, block: int = BLO
     A text that is taken whole keeps its characters; of others the taken stretches are cut out and joined by a line
     end. n_chars, if there, is made new. Texts of which nothing is taken leave.
     """
+    small_batches(docs.sparkSession)
     rows, _, pieces, _ = plan(docs, weights, limit, block)
     stretch = F.struct("from_word", "words", "times")
     per = rows.select("uid", "doc_id", "rank", "size").join(pieces.groupBy("uid").agg(F.sort_array(F.collect_list(stretch)).alias("stretches")), "uid")
@@ -208,4 +209,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, block: int = BLO
                         out.append(row)
                 yield pd.DataFrame(out, columns=columns)
 
-    return joined.select(*columns, "__size", "__stretches").mapInPandas(cut, schema)
+    return joined.select(*columns, "__size", "__stretches").mapInPandas(tidied(cut), schema)

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, session_conf, small_or_plain
+from .common import materialize, parallelism, session_conf, small_batches, small_or_plain, tidied
 
 WIDTH, THRESHOLD, BANDS, ROWS, BITS = 4, 80, 40, 7, 1024
 BROADCAST_ROWS, CHUNK = 300_000, 40_000
@@ -198,7 +198,7 @@ def _whole_sets(nodes: DataFrame, docs: DataFrame, width: int, label: str) -> Da
     """node, shingles: the set of each node. Sets are made only of texts that have to be compared."""
     nodes = materialize(nodes.select("node").distinct(), f"{label}-nodes")
     texts = docs.join(small_or_plain(nodes, nodes.count(), BROADCAST_ROWS), docs["doc_id"] == nodes["node"]).select("node", "text")
-    return materialize(texts.mapInPandas(_sets(width), "node long, shingles binary"), f"{label}-sets")
+    return materialize(texts.mapInPandas(tidied(_sets(width)), "node long, shingles binary"), f"{label}-sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -207,15 +207,16 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> D
     sets = _whole_sets(nodes, docs, width, "neardup-led")
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "s1"), ("b", "s2")))
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "s1", "s2")
-    return materialize(joined.mapInPandas(_confirmed(threshold), "a long, b long"), "neardup-led")
+    return materialize(joined.mapInPandas(tidied(_confirmed(threshold)), "a long, b long"), "neardup-led")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach), kept (doc_id is component_id), class_id
     (smallest doc_id with the same set)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(
-        texts.mapInPandas(_signed(width), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "neardup-signed"
+        texts.mapInPandas(tidied(_signed(width)), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "neardup-signed"
     )
     usable = signed.filter("digest is not null and doc_id is not null")
     # all texts with one set: the smallest id stands for them
@@ -279,7 +280,7 @@ def _across(members: DataFrame, reps: DataFrame, first: DataFrame, docs: DataFra
     salt = F.pmod(F.xxhash64(F.when(F.col("owner").isNull(), F.col("component")).otherwise(F.col("node"))), F.col("n"))
     chunked = materialize(chunked.select("key", "node", "component", "owner", salt.alias("salt")), "neardup-chunked")
     sets = _whole_sets(known, docs, width, "neardup-across")
-    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="32"):
+    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="16"):
         held = chunked.join(sets, "node").groupBy("key", "owner", "salt").agg(F.collect_list(F.struct("node", "component", "shingles")).alias("held"))
         chunks = chunked.select("key", "owner", "salt").distinct()
         many = chunks.groupBy("key").count().filter("count > 1").select("key")
@@ -290,5 +291,5 @@ def _across(members: DataFrame, reps: DataFrame, first: DataFrame, docs: DataFra
         apart = (F.col("one.key") == F.col("two.key")) & (order("one") <= order("two")) & ~F.coalesce(F.col("one.owner") == F.col("two.owner"), F.lit(False))
         both = one.join(two, apart).select(F.col("one.held").alias("one"), F.col("two.held").alias("two"))
         run = _linked_across(threshold)
-        links = [x.mapInPandas(run, "a long, b long") for x in (alone, both.repartition(parallelism(spark)))]
+        links = [x.mapInPandas(tidied(run), "a long, b long") for x in (alone, both.repartition(parallelism(spark)))]
         return materialize(links[0].union(links[1]).distinct(), "neardup-across")

@@ -23,10 +23,10 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism
+from .common import materialize, parallelism, small_batches, tidied
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MERGE = 2048, 2048, 3, 2, 6, 4, 8
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -128,9 +128,10 @@ def _tokenised(path: str, capacity: int, with_ids: bool):
 
 def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: ids by the tokenizer, then 0; cut after each ``capacity`` tokens."""
+    small_batches(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        _tokenised(tokenizer_path or default_tokenizer(), capacity, with_ids), schema
+        tidied(_tokenised(tokenizer_path or default_tokenizer(), capacity, with_ids)), schema
     )
 
 
@@ -319,10 +320,10 @@ def _round(pieces: DataFrame, n_blocks: int, level: int, capacity: int) -> DataF
             elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("population", 1).alias("immigrant"))
             given = islands.join(state.select("block", "island", "population"), ["block", "island"]).join(elite, ["block", "island"])
         given = given.select("block", "island", "lengths", "population", "immigrant").repartition(n, "block", "island")
-        state = materialize(given.mapInPandas(_island(capacity, epoch), evolved), f"pack-islands-{level}-{epoch}")
+        state = materialize(given.mapInPandas(tidied(_island(capacity, epoch)), evolved), f"pack-islands-{level}-{epoch}")
     best = state.groupBy("block").agg(F.min_by(F.element_at("population", 1), F.struct("n_bins", "rating", "island")).alias("assigned"))
     share = 0.0 if n_blocks == 1 else 1 / MERGE
-    places = lengths.join(best, "block").repartition(n, "block").mapInPandas(_placed(capacity, share), "block long, seq array<int>, off array<int>, over array<boolean>")
+    places = lengths.join(best, "block").repartition(n, "block").mapInPandas(tidied(_placed(capacity, share)), "block long, seq array<int>, off array<int>, over array<boolean>")
     zipped = blocks.join(places, "block").select("block", F.explode(F.arrays_zip("items", "seq", "off", "over")).alias("z"))
     return materialize(zipped.select(F.lit(level).alias("level"), "block", "z.items.*", "z.seq", "z.off", "z.over"), f"pack-placed-{level}")
 

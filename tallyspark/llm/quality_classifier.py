@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, held_out
+from .common import first_by_hash, held_out, small_batches, tidied
 
 BUCKETS, DIM, GRAMS, TRAIN, EPOCHS, RATE, BOOST, CUTOFF, SURE, SEED = 1 << 17, 8, (3, 4), 1200, 20, 0.2, 4, 0.7, 0.02, 17
 AGAIN, FRESH = 0, 1  # rows of the pseudo-words
@@ -128,7 +128,7 @@ def _scored(model, columns):
         folded, bias = model.value
         for frame in batches:
             texts = [t if isinstance(t, str) else "" for t in frame["text"].tolist()]
-            parts = [score_texts(texts[a:b], folded, bias) for a, b in slices(texts, 500_000)]
+            parts = [score_texts(texts[a:b], folded, bias) for a, b in slices(texts, 250_000)]
             out = frame[columns].copy()
             out["score"] = np.concatenate(parts) if parts else np.zeros(0)
             yield out
@@ -139,14 +139,16 @@ def _scored(model, columns):
 def classify(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels, per_label))
     given = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    out = given.mapInPandas(_scored(model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double")
+    out = given.mapInPandas(tidied(_scored(model, ["doc_id", "held_out"])), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN) -> DataFrame:
     """The rows that the classifier predicts to be good, with all their columns."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_label))
 
     def kept(batches):
@@ -157,7 +159,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN) -> Dat
         folded, bias = model.value
         for frame in batches:
             texts = [t if isinstance(t, str) else "" for t in frame["text"].tolist()]
-            parts = [score_texts(texts[a:b], folded, bias) for a, b in slices(texts, 500_000)]
+            parts = [score_texts(texts[a:b], folded, bias) for a, b in slices(texts, 250_000)]
             yield frame[(np.concatenate(parts) if parts else np.zeros(0)) >= CUTOFF]
 
-    return docs.mapInPandas(kept, docs.schema)
+    return docs.mapInPandas(tidied(kept), docs.schema)

@@ -20,6 +20,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
+
 _KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
 #: kind: (what the automaton detects, the whole expression, which of its matches pass). Every passing match has in it what
 #: is detected; long tails are left to the whole expression, as counting them for all rules at once multiplies states.
@@ -256,7 +258,7 @@ def _scanned(kinds: tuple[str, ...]):
 
         for frame in batches:
             ids, texts = frame["doc_id"].tolist(), [t or "" for t in frame["text"].tolist()]
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, 1_000_000):
                 part = texts[a:b]
                 bits = scan([t.encode("utf-8", "surrogatepass") for t in part], kinds)
                 spans = [[(kinds[k], s, e) for s, k, e in spans_of(t, int(x), kinds)] if x else [] for t, x in zip(part, bits, strict=True)]
@@ -267,8 +269,9 @@ def _scanned(kinds: tuple[str, ...]):
 
 def find_secrets(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """doc_id, spans: array of (kind, start, end), by start and then kind, for every row."""
+    small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long"), "text")
-    return given.mapInPandas(_scanned(kinds), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return given.mapInPandas(tidied(_scanned(kinds)), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def listed(spans):

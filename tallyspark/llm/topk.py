@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, session_conf, small_or_plain
+from .common import materialize, parallelism, session_conf, small_or_plain, tidied
 
 CANDIDATES, QUERIES, STEP = 2048, 128, 16
 BROADCAST_QUERIES = 100_000
@@ -122,15 +122,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
         clean = materialize(clean_vectors(vectors, id_col, vector_col), "topk-vectors")
         n, n_queries = clean.count(), clean.filter(is_query).count()
         dealt = clean.repartition(max(1, math.ceil(n / CANDIDATES)))
-        candidates = materialize(dealt.mapInPandas(_blocks(CANDIDATES), BLOCKS), "topk-candidates")
-        asked = clean.filter(is_query).repartition(max(1, math.ceil(n_queries / QUERIES))).mapInPandas(_blocks(QUERIES), BLOCKS)
+        candidates = materialize(dealt.mapInPandas(tidied(_blocks(CANDIDATES)), BLOCKS), "topk-candidates")
+        asked = clean.filter(is_query).repartition(max(1, math.ceil(n_queries / QUERIES))).mapInPandas(tidied(_blocks(QUERIES)), BLOCKS)
         queries = materialize(asked.withColumn("block", F.monotonically_increasing_id()), "topk-queries")
     queries = queries.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "n", "ids", "cells")])
     with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="8"):
         # blocks against blocks: a nested loop over the broadcast query blocks, or over both sides' partitions if they are many
         pairs = candidates.repartition(parallelism(spark)).alias("c").crossJoin(small_or_plain(queries, n_queries, BROADCAST_QUERIES).alias("q"))
         pairs = pairs.filter("c.dim = q.dim + 0 * q.q_block").select("c.dim", "n", "ids", "cells", "q_block", "q_n", "q_ids", "q_cells")
-        found = materialize(pairs.mapInPandas(_pairs(k), "query_id long, query_row long, vec_id long, score long"), "topk-found")
+        found = materialize(pairs.mapInPandas(tidied(_pairs(k)), "query_id long, query_row long, vec_id long, score long"), "topk-found")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
