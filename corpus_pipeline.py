@@ -53,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, cached_words=100_000)  # beside what earlier stages have left in use of an executor
 
 
 STAGES = [

@@ -175,6 +175,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, block: int = BLO
     else:
         given = given.withColumn("__like", F.lit(1))
     per = per.select(F.col("doc_id").alias("__doc"), F.col("rank").alias("__r"), F.col("like").alias("__l"), F.col("size").alias("__size"), F.col("stretches").alias("__stretches"))
+    per = per.hint("shuffle_hash")  # small rows: the texts on the other side then needn't be sorted
     joined = given.join(per, given["doc_id"].cast("long").eqNullSafe(per["__doc"]) & (given["__rank"] == per["__r"]) & (given["__like"] == per["__l"]))
     columns, schema = docs.columns, docs.schema
 

@@ -49,11 +49,11 @@ class WordCache:
     emptied when full.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
         self.model, spelled = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
         #: how the model spells Latin letters, which need no other normalising than to lower case
         self.letters = {c: spelled.pre_tokenize_str(chr(c).lower())[0][0] for c in range(65, 256) if chr(c).isalpha()}
@@ -86,7 +86,7 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.most:
             self.known = {}
         known = self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -94,7 +94,7 @@ class WordCache:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-def _tokenised(path: str, capacity: int, with_ids: bool):
+def _tokenised(path: str, capacity: int, with_ids: bool, cached_words: int):
     def run(batches):
         import gc
         import os
@@ -105,7 +105,7 @@ def _tokenised(path: str, capacity: int, with_ids: bool):
         from .common import slices
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = WordCache(path)
+        cache = WordCache(path, cached_words)
         gc.freeze()  # the cache holds strings and bytes only: nothing in it to look through again and again
         for frame in batches:
             ids, texts = frame["doc_id"].tolist(), [t or "" for t in frame["text"].tolist()]
@@ -126,12 +126,12 @@ def _tokenised(path: str, capacity: int, with_ids: bool):
     return run
 
 
-def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Pieces of every document: ids by the tokenizer, then 0; cut after each ``capacity`` tokens."""
     small_batches(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        tidied(_tokenised(tokenizer_path or default_tokenizer(), capacity, with_ids)), schema
+        tidied(_tokenised(tokenizer_path or default_tokenizer(), capacity, with_ids, cached_words)), schema
     )
 
 
@@ -328,12 +328,13 @@ def _round(pieces: DataFrame, n_blocks: int, level: int, capacity: int) -> DataF
     return materialize(zipped.select(F.lit(level).alias("level"), "block", "z.items.*", "z.seq", "z.off", "z.over"), f"pack-placed-{level}")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Each piece with its sequence and offset there: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    with_ids adds the piece's token ids, so that the sequences themselves can be written out.
+    with_ids adds the piece's token ids, so that the sequences themselves can be written out. cached_words: how many words' ids
+    a worker remembers; more take memory (some 300 bytes each), fewer take time.
     """
-    cut = tokenise(docs, capacity, tokenizer_path, with_ids)
+    cut = tokenise(docs, capacity, tokenizer_path, with_ids, cached_words)
     pieces = materialize(cut.withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
     columns = [*cut.columns]
     full = pieces.filter(F.col("length") == capacity)

@@ -162,8 +162,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """The rows with every span of their texts replaced by ``<kind>``; null texts stay null. All columns are kept."""
     found = _discovered(materialize(_marked(docs), "pii-marked"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"text_key": F.xxhash64(text)}) if "text_key" not in docs.columns else docs
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text).alias("text_key"))  # names in the row can't clash
     rows = _with_found(rows, found)
+    text = F.coalesce("row.text", F.lit(""))
     spans = F.sort_array(F.transform(F.array_union(base_spans(text), F.col("found")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     name = lambda k: F.element_at(F.array(*[F.lit(f"<{x}>") for x in KINDS]), k + 1)
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -175,5 +176,5 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when(s["start"] < acc["at"], inside).otherwise(put)
 
     done = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    clean = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.size(spans) == 0, F.col("text")).otherwise(done)
-    return rows.withColumn("text", clean).select(*docs.columns)
+    clean = F.when(F.col("row.text").isNull(), F.lit(None).cast("string")).when(F.size(spans) == 0, F.col("row.text")).otherwise(done)
+    return rows.select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ below the query's k-th lower bound can't enter; the columns of the survivors are
 
 Components are floor(256 * x) of x as double. Vectors that are null, or hold a null or non-finite component, take no
 part. Vectors of other lengths than the query's aren't compared. A query's own row is the one with its vec_id: rows
-that repeat its id are not candidates of it; each repeated row of a query id is answered. Ties go to the smaller
+that repeat its id are not candidates of it; each repeated row of a query id is answered. Scores beyond a long count as its limits. Ties go to the smaller
 vec_id. A null vec_id can't be named in a result: such rows take no part. Empty tables give empty results.
 """
 
@@ -70,8 +70,9 @@ def best_of_block(qid, q, cid, c, k):
     if largest >= 2**53:  # beyond exact doubles: whole numbers of any size
         qi, ci = [[int(v) for v in row] for row in q], [[int(v) for v in col] for col in c.T]
         for i, row in enumerate(qi):
-            scored = sorted((-sum(a * b for a, b in zip(row, col, strict=True)), int(v)) for col, v in zip(ci, cid, strict=True) if v != qid[i])
-            out += [(i, v, max(-(2**63), min(2**63 - 1, -s))) for s, v in scored[:k]]
+            cut = lambda s: max(-(2**63), min(2**63 - 1, s))
+            scored = sorted((-cut(sum(a * b for a, b in zip(row, col, strict=True))), int(v)) for col, v in zip(ci, cid, strict=True) if v != qid[i])
+            out += [(i, v, -s) for s, v in scored[:k]]
         return out
     order = np.argsort(-(c * c).sum(axis=1) * ((q * q).sum(axis=0) + 1), kind="stable")
     q, c = q[:, order], c[order]
