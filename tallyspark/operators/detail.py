@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..fixed_values import DETAIL
 from ..functions.code import codebleu
@@ -49,7 +50,7 @@ def assemble(runs: DataFrame, benchmark: str) -> DataFrame:
         if "ref_content" in runs.columns:
             made["image_similarity"] = F.when(F.col("ref_content").isNotNull() & F.col("render_content").isNotNull(), image_similarity("ref_content", "render_content"))
     given = {"model", "model_id", "architecture", "code", "category", "usage", "stderr"} & set(runs.columns)
-    columns = [(made[f.name] if f.name in made else F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD.fields]
+    columns = [(made[f.name] if f.name in made else F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(RECORD).fields]
     return runs.select(*columns)
 
 

@@ -1,18 +1,15 @@
-"""Declared schemas of problem sets, run-log records and dimensions."""
+"""Declared schemas of problem sets, run-log records and dimensions, as DDL: it can be read without a session."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 _s = lambda *names: ", ".join(f"`{n}` string" for n in names)
-_ddl = T.StructType.fromDDL
 
 PROBLEMS = {
-    "humaneval": _ddl(_s("task_id", "prompt", "entry_point", "canonical_solution", "test", "codice_completo")),
-    "mbpp": _ddl(f"task_id long, {_s('text', 'code', 'test_setup_code')}, test_list array<string>"),
-    "ds1000": _ddl(f"{_s('prompt', 'reference_code', 'code_context')}, metadata struct<problem_id:long,library:string,perturbation_type:string,test_case_cnt:long>"),
-    "plot2code": _ddl(_s("instruction", "code", "url", "ref_image")),
-    "multipl-e": _ddl(f"{_s('name', 'language', 'prompt', 'tests')}, stop_tokens array<string>"),
+    "humaneval": (_s("task_id", "prompt", "entry_point", "canonical_solution", "test", "codice_completo")),
+    "mbpp": (f"task_id long, {_s('text', 'code', 'test_setup_code')}, test_list array<string>"),
+    "ds1000": (f"{_s('prompt', 'reference_code', 'code_context')}, metadata struct<problem_id:long,library:string,perturbation_type:string,test_case_cnt:long>"),
+    "plot2code": (_s("instruction", "code", "url", "ref_image")),
+    "multipl-e": (f"{_s('name', 'language', 'prompt', 'tests')}, stop_tokens array<string>"),
 }
 COMMON = (
     f"{_s('task_id', 'model', 'model_id', 'architecture', 'benchmark', 'code')}, passed boolean, category string, metrics struct<codebleu:double>,"
@@ -25,6 +22,6 @@ OWN = (
     + ", test_list array<string>, image_similarity struct<text_match:double,ssim:double,color_sim:double,composite:double>"
 )
 #: one wide record; columns that a benchmark hasn't are null
-RECORD = _ddl(f"{COMMON}, {OWN}")
+RECORD = (f"{COMMON}, {OWN}")
 #: as the log has it: seq orders the attempts of a key
-LOG = _ddl(f"seq long, {COMMON}, {OWN}")
+LOG = (f"seq long, {COMMON}, {OWN}")
