@@ -79,6 +79,9 @@ def held_out(column="doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+M_MMAP_THRESHOLD = -3  # its number in the C library's malloc.h
+
+
 def tidied(run):
     """A function for mapInPandas that leaves no memory behind in its worker, which goes on to other tasks."""
 
@@ -89,7 +92,10 @@ def tidied(run):
         import pyarrow as pa
 
         pa.set_memory_pool(pa.system_memory_pool())
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)  # large arrays go back to the system as soon as they are freed
+        trim = getattr(libc, "malloc_trim", None)
         try:
             for out in run(batches):
                 yield out
@@ -101,7 +107,7 @@ def tidied(run):
     return wrapped
 
 
-def slices(texts: list, most: int = 1_000_000):
+def slices(texts: list, most: int = 250_000):
     """Runs (from, to) of ``texts`` of about ``most`` characters, one text at least."""
     start = size = 0
     for i, text in enumerate(texts):
