@@ -61,11 +61,13 @@ def small_or_plain(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
-BATCH_ROWS = "1000"
+BATCH_ROWS, READ_ROWS = "1000", "512"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows with whole texts go to Python BATCH_ROWS at a time: the default of 10,000 of them may not fit beside each other."""
+    """Rows with whole texts are read READ_ROWS at a time and go to Python BATCH_ROWS at a time: of the defaults, 4096 and
+    10,000, so many may not fit beside each other."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
