@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,29 @@ def pair_f1(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str)
     return whole.select(a, b, "common", F.round(f1, 6).alias("f1"))
 
 
+def overlap(items: DataFrame, docs: DataFrame, item: str, doc: str, tokens: Column) -> DataFrame:
+    """Of each item, docs: how many documents share a token with its bag; shared: the sum of the multiset intersections.
+
+    No pair of an item and a document is made. The intersections are summed from how many documents have a token so
+    many times; documents are counted from 63 items at a time as the bits of a number, or-ed over a document's tokens.
+    """
+    mine = counted(items, item, tokens)
+    theirs = counted(docs, doc, tokens).join(mine.select("token").distinct(), "token", "left_semi")
+    times = theirs.groupBy("token", "n").agg(F.count("*").alias("times")).withColumnRenamed("n", "n2")
+    shared = mine.join(times, "token").groupBy(item).agg(F.sum(F.least("n", "n2") * F.col("times")).alias("shared"))
+    place = F.row_number().over(Window.orderBy(item)) - 1
+    numbered = items.select(item).distinct().withColumn("_at", place).withColumn("_word", F.floor(F.col("_at") / 63)).withColumn("_bit", (F.col("_at") % 63).cast("int"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
+    masks = mine.join(numbered, item).groupBy("token", "_word").agg(F.bit_or(one).alias("_mask"))
+    seen = docs.select(doc, F.explode(F.array_distinct(tokens)).alias("token"))
+    sets = seen.join(masks, "token").groupBy(doc, "_word").agg(F.bit_or("_mask").alias("_mask"))
+    sets = sets.groupBy("_word", "_mask").agg(F.count("*").alias("times"))
+    hits = sets.select("_word", "times", F.explode(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.call_function("getbit", F.col("_mask"), i) == 1)).alias("_bit"))
+    found = hits.groupBy("_word", "_bit").agg(F.sum("times").alias("docs")).join(numbered, ["_word", "_bit"])
+    whole = numbered.select(item).join(found.select(item, "docs"), item, "left").join(shared, item, "left")
+    return whole.na.fill(0, ["docs", "shared"]).select(item, "docs", "shared")
+
+
 def histogram(values: Column, low: float, high: float, bins: int) -> Column:
     """Shares of an array's values in equal bins; the upper edge belongs to the last bin."""
     cell = F.transform(values, lambda x: F.least(F.greatest(F.floor((x.cast("double") - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)))

@@ -489,16 +489,16 @@ def bag_f1_documents(spark, sf):
 
 
 @query(
-    r"""WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS token FROM documents),
-b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS token FROM benchmark)
-SELECT item_id, count(DISTINCT doc_id) AS docs, count(*) AS shared FROM b JOIN d USING (token) GROUP BY item_id"""
+    r"""WITH d AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM documents) t GROUP BY ALL),
+b AS (SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM benchmark) t GROUP BY ALL),
+per AS (SELECT item_id, doc_id, sum(least(b.n, d.n)) AS n FROM b JOIN d USING (token) GROUP BY item_id, doc_id)
+SELECT item_id, count(per.n) AS docs, CAST(coalesce(sum(per.n), 0) AS BIGINT) AS shared FROM (SELECT DISTINCT item_id FROM benchmark) i LEFT JOIN per USING (item_id) GROUP BY item_id"""
 )
 def contamination_overlap(spark, sf):
-    """Long words that benchmark items share with documents."""
-    tokens = lambda t, key: S.table(spark, sf, t).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("token")).distinct()
-    shared = tokens("benchmark", "item_id").join(tokens("documents", "doc_id"), "token")
-    per = shared.groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("item_id").agg(F.count("*").alias("docs"), F.sum("n").alias("shared"))
+    """Of each benchmark item, the documents that share words with it, and the words shared: the sum over documents of
+    the multiset intersections of both bags."""
+    items = S.table(spark, sf, "benchmark").select("item_id", "text")
+    return bags.overlap(items, _docs(spark, sf), "item_id", "doc_id", X.word_tokens("text"))
 
 
 @query(

@@ -1,0 +1,38 @@
+"""Queries whose SQL twin once had the same cut as they: against brute force in Python, and the twin too."""
+
+import re
+from collections import Counter
+
+import duckdb
+
+from tallyspark.plans import registry
+
+
+def tables(spark, folder, **rows):
+    """Parquet tables (schema, rows) by name; the folder and a DuckDB connection that has them as views."""
+    con = duckdb.connect()
+    for name, (schema, given) in rows.items():
+        spark.createDataFrame(given, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    return str(folder), con
+
+
+def both(spark, sf, con, name):
+    """Rows of the query and of its twin, columns in the query's order."""
+    got = registry.QUERIES[name](spark, sf)
+    order = ", ".join(got.columns)
+    return [tuple(r) for r in got.collect()], con.sql(f"SELECT {order} FROM ({registry.ORACLE_SQL[name]}) t").fetchall()
+
+
+def test_contamination_overlap(spark, tmp_path):
+    items = [(i, f"w{i} w{i} und {'the' if i % 2 else 'was'}") for i in range(130)] + [(200, "Für für a 7"), (201, "nothing-shared"), (202, ""), (203, None)]
+    docs = [(1, "the für was FÜR für a"), (2, "w0 w0 w0 w129 the the"), (3, "w62 w63 und w64 7"), (4, ""), (5, None), (6, "other words only")]
+    bag = lambda t: Counter(re.findall(r"[^\W_]+", (t or "").lower()))
+    want = []
+    for i, t in items:
+        per = [sum((bag(t) & bag(d)).values()) for _, d in docs]
+        want.append((i, sum(n > 0 for n in per), sum(per)))
+    sf, con = tables(spark, tmp_path, benchmark=("item_id long, text string", items), documents=("doc_id long, text string", docs))
+    got, twin = both(spark, sf, con, "contamination_overlap")
+    assert sorted(got) == sorted(want)
+    assert sorted(twin) == sorted(want)
