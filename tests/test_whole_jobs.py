@@ -36,3 +36,14 @@ def test_contamination_overlap(spark, tmp_path):
     got, twin = both(spark, sf, con, "contamination_overlap")
     assert sorted(got) == sorted(want)
     assert sorted(twin) == sorted(want)
+
+
+def test_ordered_results(spark, tmp_path):
+    events = [(i, 3 * t, kind, 1.5, '{"k": 1}') for i, (t, kind) in enumerate([(500, "click"), (1, "view"), (200, "signup"), (201, "click"), (201, "purchase"), (7, "view")])]
+    orders = [(500,), (201,), (200,), (1,), (8,)]
+    schema = "event_id long, user_id long, event_type string, value double, props string"
+    sf, con = tables(spark, tmp_path, events=(schema, events), orders=("o_orderkey long", orders))
+    want = [(n, f"t/{n}", "m0", "b1", c) for n, c in [(1, "Passed"), (200, "APIError"), (201, "AssertionError"), (500, "Passed")]]
+    got, twin = both(spark, sf, con, "ordered_results")
+    assert got == want
+    assert sorted(twin) == want
