@@ -1,11 +1,14 @@
 """Main text of web pages by two passes of block rules.
 
 The markup is cut into blocks at block-level tags. Blocks in elements that are never text (scripts, styles, forms, menus,
-headers, footers, sidebars) or whose class or id names an advert, a notice or reader comments are dropped at once. Pass one
+headers, footers, sidebars) or whose class or id names an advert, a notice or reader comments are dropped at once; but an element
+named for having or lacking such a part (with-sidebar, no-sidebar) isn't, and where one by its name would go with main in it, or one
+named for a part of the layout with all of the page's articles, the page is read without and with it, and the longer text taken. Pass one
 classifies the others by length, stop-word density and link density: bad (mostly links), good (long, with stop words), near good, short.
 Pass two gives the undecided ones the label of the nearest decided neighbours in the same region: good if one of the nearest on
 either side is, bad if both are. Where a page marks its article (article, main), that is the region to read, only its blocks count as neighbours, and
-blocks without decided neighbours are good there, and bad elsewhere.
+blocks without decided neighbours are good there, and bad elsewhere. Where no block has stop words of a known language, as far as
+they are known, length and link density alone decide; a Chinese, Japanese or Korean character counts as three there.
 
 Nulls: a null html is an empty page, with an empty text; null page_id and url are carried. Repeated rows give a row each.
 Empty tables give empty results. Broken markup (tags left open, pages cut off) never raises. Other columns are ignored.
@@ -35,13 +38,17 @@ SKIPPED_NAMES = re.compile(
     r"masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|widget|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
-STOP_WORDS = set(
-    "the of and to in a is that for it was on with as be by this are from at or an have not but his they which you we"
-    " der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei"
-    " de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec son ou"
-    " el los y del se las por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre".split()
-)
-LONG, SHORT, DENSE, SPARSE, LINKED = 200, 70, 0.3, 0.12, 0.35
+LAYOUT_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|sidebar|side-bar|menu|nav|navbar|navigation|footer|header|masthead|widget|toolbar)(?:$|[\s_-])", re.I)
+HAVING = re.compile(r"(?:^|[_-])(?:with|without|no|has|have)[_-]", re.I)
+BUILDER = re.compile(r"^elementor-widget(?=$|[_-])", re.I)  # a page builder's name of any block, text or not
+STOP_WORDS_OF = [
+    set("the of and to in a is that for it was on with as be by this are from at or an have not but his they which you we".split()),
+    set("der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei".split()),
+    set("de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec son ou".split()),
+    set("el los y del se las por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre".split()),
+]
+STOP_WORDS = set().union(*STOP_WORDS_OF)
+LONG, SHORT, DENSE, SPARSE, LINKED, KNOWN = 200, 70, 0.3, 0.12, 0.35, 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
@@ -49,22 +56,33 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WHITE = re.compile(r"\s+")
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
+
+
+def _names(attrs: str) -> list[str]:
+    """Names in class, id and role that stand for what isn't text."""
+    found = [x for m in _NAMED.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split()]
+    return [x for x in found if not HAVING.search(x) and SKIPPED_NAMES.search(BUILDER.sub("", x))]
 
 
-def _refused(name: str, attrs: str, in_article: bool) -> bool:
+def _refused(name: str, attrs: str, in_article: bool) -> str:
+    """Why an element is refused: tag, name, layout (its names are only of layout parts); empty if it isn't."""
     if name in SKIPPED_TAGS or (name == "header" and not in_article):
-        return True
+        return "tag"
     if attrs and name not in ("html", "body", "main", "article"):
-        for m in _NAMED.finditer(attrs):
-            if SKIPPED_NAMES.search(m[1] or m[2] or m[3] or ""):
-                return True
-        return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I))
-    return False
+        if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I):
+            return "tag"
+        names = _names(attrs)
+        if names:
+            return "layout" if all(LAYOUT_NAMES.search(x) for x in names) else "name"
+    return ""
 
 
-def blocks(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, whether in an article) of each block that isn't in a refused element."""
+def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, int, bool]]:
+    """(text, characters of it in links, whether in an article) of each block that isn't in a refused element; elements
+    that begin at ``exempt`` places aren't refused. The places of refused ones that seem to hold the article go to ``wrappers``."""
     out, stack, text = [], [], []
+    open_named, mains, holding, articles = [], set(), {}, 0
     refused = links = article = at = 0
     linked = 0
 
@@ -81,6 +99,8 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
         nonlocal refused, links, article
         tag, no = stack.pop()
         refused -= no
+        if open_named and open_named[-1][0] == len(stack):
+            open_named.pop()
         links -= tag == "a"
         article -= tag in ("article", "main")
 
@@ -124,22 +144,55 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
                     break
                 if stack[i][0] in ("ul", "ol", "table", "div", "article", "main", "section", "body", "dl", "blockquote"):
                     break
-        no = _refused(name, m["attrs"] or "", article > 0)
+        why = _refused(name, m["attrs"] or "", article > 0) if m.start() not in exempt else ""
+        no = why != ""
+        if name == "main" or (name == "article" and not _names(m["attrs"] or "")):
+            inside = [(place, kind) for _, place, kind in open_named]
+            if not any(kind == "tag" for _, kind in inside):
+                if name == "main":
+                    mains.update(place for place, _ in inside)
+                else:
+                    articles += 1
+                    if all(kind == "layout" for _, kind in inside):
+                        for place, _ in inside:
+                            holding[place] = holding.get(place, 0) + 1
+        if no:
+            open_named.append((len(stack), m.start(), why))
         stack.append((name, no))
         refused += no
         links += name == "a"
         article += name in ("article", "main")
     close_block()
+    wrappers.update(mains, (place for place, n in holding.items() if n == articles))
     return out
 
 
-def first_pass(text: str, linked: int, in_article: bool) -> str:
-    """bad, good, near or short."""
+def _words(text: str) -> list[str]:
+    return [w.strip(".,;:!?\"'()[]#*$%&|").lower() for w in text.split()]
+
+
+def in_known_language(found: list[tuple[str, int, bool]]) -> bool:
+    """Whether a block of some length has KNOWN stop words or more of one language, and is dense with them."""
+    for text, linked, _ in found:
+        if linked <= LINKED * len(text) and len(text) >= SHORT:
+            words = _words(text)
+            for stop in STOP_WORDS_OF:
+                hits = [w for w in words if w in stop]
+                if len(hits) >= SPARSE * len(words) and len(set(hits)) >= KNOWN:
+                    return True
+    return False
+
+
+def first_pass(text: str, linked: int, in_article: bool, known: bool = True) -> str:
+    """bad, good, near or short; by length and links alone if the language isn't ``known``."""
     if linked > LINKED * len(text):
         return "bad"
+    if not known:
+        size = len(text) + 2 * len(_WIDE.findall(text))
+        return "short" if size < SHORT else "good" if size > LONG else "near"
     if len(text) < SHORT:
         return "short"
-    words = [w.strip(".,;:!?\"'()[]#*$%&|").lower() for w in text.split()]
+    words = _words(text)
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= DENSE or (len(text) > LONG and density >= SPARSE):
         return "good" if len(text) > LONG or density >= DENSE else "near"
@@ -147,10 +200,16 @@ def first_pass(text: str, linked: int, in_article: bool) -> str:
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
+    wrappers: set[int] = set()
+    text = _chosen(blocks(page, set(), wrappers))
+    return max(text, _chosen(blocks(page, wrappers, set())), key=len) if wrappers else text
+
+
+def _chosen(found: list[tuple[str, int, bool]]) -> str:
     if any(in_article for _, _, in_article in found):
         found = [b for b in found if b[2]]
-    labels = [first_pass(*b) for b in found]
+    known = in_known_language(found)
+    labels = [first_pass(*b, known) for b in found]
     decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
     keep = []
     at = 0
