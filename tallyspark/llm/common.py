@@ -35,7 +35,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._table = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._table)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -56,9 +65,30 @@ def session_conf(spark: SparkSession, **settings: str):
                 spark.conf.set(name, value)
 
 
-def small_or_plain(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``most_rows``, else as it is."""
-    return F.broadcast(df) if rows <= most_rows else df
+BROADCAST_BYTES, SALTS = 32 << 20, 16
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About how many bytes a written table's rows take in memory: 16 for each number, what they are for texts and arrays."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    lists = [(f.name, 8 if f.dataType.elementType.simpleString() in ("int", "bigint", "double") else 40) for f in df.schema.fields if f.dataType.simpleString().startswith("array")]
+    extra = [F.sum(F.coalesce(F.octet_length(c), F.lit(0))) for c in texts] + [F.sum(F.greatest(F.size(c), F.lit(0)) * w) for c, w in lists]
+    counted = df.agg(F.count("*"), *extra).first()
+    return counted[0] * 16 * (len(df.columns) + 1) + sum(x or 0 for x in counted[1:])
+
+
+def small_or_plain(df: DataFrame) -> DataFrame:
+    """A written table, with a broadcast hint if its bytes are within BROADCAST_BYTES."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
+
+
+def attached(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``many`` rows a key joined with a written table of one row a key: broadcast if its bytes are few, else on the key and one of
+    SALTS numbers, so that a frequent key is no task of its own."""
+    if bytes_of(few) <= BROADCAST_BYTES:
+        return many.join(F.broadcast(few), key, how)
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)))
+    return salted.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "_salt"], how).drop("_salt")
 
 
 BATCH_ROWS, READ_ROWS = "1000", "512"
