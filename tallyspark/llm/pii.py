@@ -1,10 +1,14 @@
 """Personal data in whole texts, with DataFrame functions only: base patterns, then bootstrapped contextual extraction.
 
-Base spans come from four patterns. They are the seeds. Every word with a digit or an @ is an instance; the words next to
-it are its patterns (``L:`` the word before, ``R:`` the word after). The graph of patterns and instances is scored in
-ROUNDS rounds: a pattern's confidence for a kind is the share of its distinct instances' scores that this kind has, and an
-instance that isn't a seed takes the confidence of its best accepted pattern. Patterns of CONFIDENCE or more, with SUPPORT
-seeds or more, then discover words of that kind's shape that no base span touches.
+Base spans come from four patterns. They are the seeds. Every word with a digit or an @ is an instance; its patterns are the
+letters of the word before it (``L:``), of the two before it (``LL:``), of the word behind it (``R:``) and of the two behind
+it (``RR:``), whole words at whatever distance. The graph of patterns and instances is scored in ROUNDS rounds: a pattern's confidence for
+a kind is the share of its distinct instances' scores that this kind has (one more instance, of no kind, being counted), and an
+instance that isn't a seed beside the pattern takes the confidence of its best accepted pattern. Patterns of CONFIDENCE or more,
+with SUPPORT seeds or more, then discover words of that kind's shape that no base span touches; marks around a word don't belong to it.
+
+Nothing is held for a pattern or an instance but sums. A table is broadcast if its bytes are counted and few; a larger one is joined on
+its key and a salt (``common.attached``), so that a frequent pattern or instance is no task of its own.
 
 Positions are code points, ends exclusive. Nulls: a null text is an empty one; a null doc_id is carried. Repeated rows give
 a row each. Empty tables give empty results, other columns are ignored by ``find`` and carried by ``redact``.
@@ -17,10 +21,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_plain
+from .common import SPACES, attached, materialize, small_or_plain
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, CONFIDENCE, SUPPORT, BROADCAST_ROWS = 2, 0.8, 5, 300_000
+ROUNDS, CONFIDENCE, SUPPORT, RUN = 2, 0.8, 5, 256
 
 # The contract's patterns. Possessive repeats and the look-behinds change no match: a run that could begin a match is entered at
 # its first character only, and nothing is given back where giving back can't help; so long runs take linear time.
@@ -42,21 +46,29 @@ def let(value: Column, use) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """The non-overlapping matches of a pattern, leftmost first: array of (start, end, match, before), before being
-    what lies between it and the match before."""
+    """The non-overlapping matches of a pattern, leftmost first: array of (start, end, match).
+
+    Places are summed up in runs of RUN matches and then over the runs, as an array that grows is copied at each step.
+    """
     pieces = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    none = "array<struct<start:long,end:long,match:string>>"
 
     def places(p):
-        steps = F.zip_with(F.slice(p["gaps"], 1, F.size(p["found"])), p["found"], lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,match:string,before:string>>").alias("out"))
+        steps = F.zip_with(F.slice(p["gaps"], 1, F.size(p["found"])), p["found"], lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(none).alias("out"))
 
         def step(acc, s):
-            begin = acc["at"] + F.length(s["gap"])
+            begin = acc["at"] + s["gap"]
             end = begin + F.length(s["match"])
-            one = F.struct(begin.alias("start"), end.alias("end"), s["match"].alias("match"), s["gap"].alias("before"))
-            return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), s["match"].alias("match")))).alias("out"))
 
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(p["found"]) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(steps, k * RUN + 1, RUN), start, step))
+        return F.when(F.size(p["found"]) == 0, F.array().cast(none)).otherwise(let(runs, joined))
+
+    def joined(runs):
+        ends = F.aggregate(runs, F.array(F.lit(0).cast("long")), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+        moved = lambda r, by: F.transform(r["out"], lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["match"].alias("match")))
+        return let(ends, lambda e: F.flatten(F.zip_with(runs, F.slice(e, 1, F.size(runs)), moved)))
 
     return let(pieces, places)
 
@@ -92,42 +104,80 @@ def base_spans(text: Column) -> Column:
 
 
 def _instances(text: Column) -> Column:
-    """Words with a digit or an @, with the words at their sides."""
-    none = F.array().cast("array<struct<start:long,end:long,instance:string,l:string,r:string>>")
-    bare = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}]", ""))
-    after = lambda m: F.regexp_extract(F.substring(text, (m["end"] + 1).cast("int"), F.lit(64)), rf"^[\x20\x09-\x0D]+({_WORD}+)", 1)
-    one = lambda m: F.struct(
-        m["start"].alias("start"),
-        m["end"].alias("end"),
-        m["match"].alias("instance"),
-        bare(F.regexp_extract(F.right(m["before"], F.lit(64)), rf"({_WORD}+)[\x20\x09-\x0D]+$", 1)).alias("l"),
-        bare(after(m)).alias("r"),
-    )
-    return F.when(text.rlike("[0-9@]"), F.transform(located(text, INSTANCE), one)).otherwise(none)
-
-
-def _discovered(marked: DataFrame) -> DataFrame:
-    """key columns and found: spans that accepted patterns discover, a row for each text that has any."""
+    """Words with a digit or an @: their places without the marks around them, and their patterns."""
+    none = F.array().cast("array<struct<start:long,end:long,instance:string,patterns:array<string>>>")
+    words = F.filter(F.split(text, SPACES), lambda w: w != "")
+    bare = lambda w: F.coalesce(F.lower(F.regexp_replace(w, r"[^\p{L}]", "")), F.lit(""))
+    bare_ones = lambda all_, i: F.transform(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)]), lambda k: F.when(i + k >= 0, bare(F.get(all_, i + k))).otherwise(""))
+
+    def patterns(near):
+        far_l, l, r, far_r = (F.get(near, F.lit(k)) for k in range(4))
+        return F.array_compact(
+            F.array(
+                F.when(l != "", F.concat(F.lit("L:"), l)),
+                F.when((l != "") & (far_l != ""), F.concat(F.lit("LL:"), far_l, F.lit(" "), l)),
+                F.when(r != "", F.concat(F.lit("R:"), r)),
+                F.when((r != "") & (far_r != ""), F.concat(F.lit("RR:"), r, F.lit(" "), far_r)),
+            )
+        )
+
+    def one(m, near):
+        lead = F.length(F.regexp_extract(m["match"], r"^[^\p{L}0-9+@]*", 0))
+        core = F.regexp_replace(F.regexp_replace(m["match"], r"^[^\p{L}0-9+@]+", ""), r"[^\p{L}0-9]++$", "")
+        core = F.when(core == "", m["match"]).otherwise(core)
+        begin = m["start"] + F.when(F.length(core) == F.length(m["match"]), F.lit(0)).otherwise(lead)
+        return F.struct(begin.alias("start"), (begin + F.length(core)).alias("end"), core.alias("instance"), near.alias("patterns"))
+
+    def beside(all_):
+        marked = F.filter(F.transform(all_, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].rlike("[0-9@]"))
+        return F.transform(marked, lambda x: let(bare_ones(all_, x["i"]), patterns))
+
+    found = F.zip_with(located(text, INSTANCE), let(words, beside), one)
+    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
+
+
+def _shaped(kind: Column, instance: Column) -> Column:
+    return reduce(lambda c, k: c.when(kind == KINDS.index(k), instance.rlike(SHAPES[k])), KINDS, F.when(F.lit(False), F.lit(False)))
+
+
+def _sums(edges: DataFrame) -> DataFrame:
+    """pattern, and how much score each kind has among its instances: edges are (pattern, kind, score)."""
+    return edges.groupBy("pattern").agg(*[F.sum(F.when(F.col("kind") == i, F.col("score")).otherwise(0.0)).alias(f"s{i}") for i in range(len(KINDS))])
+
+
+def learned(graph: DataFrame) -> DataFrame:
+    """pattern, kind, confidence of the accepted patterns. graph: distinct (pattern, instance) and the kind, null if it is no seed there."""
+    seeds = graph.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == i).cast("double").alias(f"s{i}") for i in range(len(KINDS))])
+    seeds = materialize(seeds.filter(F.greatest(*[F.col(f"s{i}") for i in range(len(KINDS))]) >= SUPPORT), "pii-seeds")
+    sums, accepted = seeds, None
+    for k in range(ROUNDS):
+        best = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("s"), F.lit(i).alias("kind")) for i in range(len(KINDS))]))
+        per = sums.withColumn("best", best).select("pattern", F.col("best.kind").alias("kind"), F.least(F.col("best.s") / (F.col("n") + 1), F.lit(1.0)).alias("confidence"))
+        accepted = materialize(per.filter(F.col("confidence") >= CONFIDENCE), "pii-patterns")
+        if k < ROUNDS - 1:
+            open_ = graph.filter("kind is null").select("pattern", "instance")
+            hits = attached(open_, accepted, "pattern").filter(_shaped(F.col("kind"), F.col("instance")))
+            scored = hits.groupBy("instance").agg(F.max(F.struct(F.col("confidence").alias("score"), "kind")).alias("b")).select("instance", "b.kind", "b.score")
+            more = _sums(attached(open_, materialize(scored, "pii-scores"), "instance"))
+            new = more.select("pattern", *[F.col(f"s{i}").alias(f"t{i}") for i in range(len(KINDS))])
+            added = [(F.col(f"s{i}") + F.coalesce(f"t{i}", F.lit(0.0))).alias(f"s{i}") for i in range(len(KINDS))]
+            sums = seeds.join(new, "pattern", "left").select("pattern", "n", *added)
+    return accepted
+
+
+def _discovered(marked: DataFrame, hidden: Column | None = None) -> DataFrame:
+    """key columns and found: spans that accepted patterns discover, a row for each text that has any.
+
+    hidden: a condition on the instance; seeds for which it holds aren't used, so that their rediscovery can be measured.
+    """
     touching = F.filter("base", lambda b: (b["start"] < F.col("i.end")) & (b["end"] > F.col("i.start")))
     seen = marked.filter(F.size("instances") > 0).select("doc_id", "text_key", "base", F.explode("instances").alias("i"))
     seen = seen.select("doc_id", "text_key", "i.*", F.get(F.transform(touching, lambda b: b["kind"]), F.lit(0)).alias("kind"))
-    sides = F.array(*[F.when(F.col(c) != "", F.concat(F.lit(c.upper() + ":"), F.col(c))) for c in "lr"])
-    seen = materialize(seen.withColumn("pattern", F.explode(F.array_compact(sides))), "pii-instances")
-    graph = materialize(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-graph")
-    seeds = graph.filter("kind is not null").groupBy("instance").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score"))
-    shaped = reduce(lambda c, k: c.when(F.col("kind") == KINDS.index(k), F.col("instance").rlike(SHAPES[k])), KINDS, F.when(F.lit(False), F.lit(False)))
-    scored, accepted = seeds, None
-    for _ in range(ROUNDS):
-        edges = graph.select("pattern", "instance").join(scored, "instance", "left")
-        sums = [F.sum(F.when(F.col("kind") == i, F.col("score")).otherwise(0.0)).alias(f"s{i}") for i in range(len(KINDS))]
-        per = edges.groupBy("pattern").agg(F.count("*").alias("n"), *sums)
-        best = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("s"), F.lit(i).alias("kind")) for i in range(len(KINDS))]))
-        per = per.withColumn("best", best).select("pattern", F.col("best.kind").alias("kind"), F.col("best.s").alias("support"), (F.col("best.s") / (F.col("n") + 1)).alias("confidence"))
-        accepted = materialize(per.filter((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)), "pii-patterns")
-        new = graph.filter("kind is null").select("pattern", "instance").join(accepted, "pattern").filter(shaped)
-        new = new.groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("instance", F.col("b.kind").alias("kind"), F.col("b.confidence").alias("score"))
-        scored = materialize(seeds.unionByName(new.join(seeds.select("instance"), "instance", "left_anti")), "pii-scores")
-    hits = seen.filter("kind is null").drop("kind").join(accepted, "pattern").filter(shaped)
+    if hidden is not None:
+        seen = seen.withColumn("kind", F.when(~hidden, F.col("kind")))
+    seen = materialize(seen.withColumn("pattern", F.explode("patterns")).drop("patterns"), "pii-instances")
+    accepted = learned(materialize(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-graph"))
+    hits = attached(seen.filter("kind is null").drop("kind"), accepted, "pattern").filter(_shaped(F.col("kind"), F.col("instance")))
     hits = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
     return materialize(hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("found")), "pii-found")
 
@@ -140,7 +190,7 @@ def _marked(docs: DataFrame, *more) -> DataFrame:
 
 def _with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Joined by doc_id and text, not by a row number: rows that agree in both have the same spans."""
-    found = small_or_plain(found, found.count(), BROADCAST_ROWS)
+    found = small_or_plain(found)
     same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["text_key"] == found["text_key"])
     return rows.join(found, same, "left").select(*[rows[c] for c in rows.columns], F.coalesce(found["found"], F.array().cast(f"array<{SPAN}>")).alias("found"))
 
@@ -160,21 +210,25 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows with every span of their texts replaced by ``<kind>``; null texts stay null. All columns are kept."""
-    found = _discovered(materialize(_marked(docs), "pii-marked"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text).alias("text_key"))  # names in the row can't clash
-    rows = _with_found(rows, found)
-    text = F.coalesce("row.text", F.lit(""))
-    spans = F.sort_array(F.transform(F.array_union(base_spans(text), F.col("found")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    marked = materialize(_marked(docs), "pii-marked")
+    spans = _with_found(marked.select("doc_id", "text_key", "base"), _discovered(marked))
+    order = F.transform(F.array_union("base", "found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.array_sort(order).alias("spans")).filter(F.size("spans") > 0)
+    spans = materialize(spans.dropDuplicates(["_doc", "_key"]), "pii-spans")  # rows that agree in both have the same spans
+    spans = small_or_plain(spans)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))  # names in the row can't clash
+    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
+    text = F.col("row.text")
     name = lambda k: F.element_at(F.array(*[F.lit(f"<{x}>") for x in KINDS]), k + 1)
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
         gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        put = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, name(s["kind"])).alias("out"))
+        put = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, name(s["kind"]))).alias("out"))
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] < acc["at"], inside).otherwise(put)
 
-    done = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    clean = F.when(F.col("row.text").isNull(), F.lit(None).cast("string")).when(F.size(spans) == 0, F.col("row.text")).otherwise(done)
+    rest = lambda acc: F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))
+    done = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), rest(acc)))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(done)
     return rows.select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
