@@ -1,28 +1,34 @@
 """Quality rules with risk-controlled thresholds, with DataFrame functions only.
 
-Each text gets a few shares (of symbols, marks, repeated lines and repeated words). Cutoffs on them are chosen for each
-stratum (the language) on labelled rows: going from a lax cutoff to stricter ones, a cutoff is accepted while an exact
-binomial test rejects, at level DELTA / (strata x rules), that a text labelled good exceeds it with probability RISK / rules
-or more; the sequence ends with the first cutoff that isn't accepted, so no further correction is needed along it. Of the
-accepted cutoffs the one is taken that rejects most bad rows less PENALTY times the good ones. So with probability 1 - DELTA, in
-every stratum at most RISK of the good texts are rejected. A stratum with too few labelled rows gets no cutoff and rejects nothing.
-Labels of held-out rows (``common.held_out``) aren't used: they serve to measure the result.
-
-Nulls: a null text has no words; a null language is a stratum of its own; labels that are null are no labels; a doc_id with
+Each text gets a few shares (of symbols, marks, repeated lines and repeated words), in steps of 1 / STEPS. Labelled rows that the
+base rules keep and that aren't held out (``common.held_out``) are split by a hash: LEARN of them say how much more frequent bad rows
+are than good ones at or beyond each step of each rule and stratum (the language); the others calibrate. A row's score is the highest such ratio of
+its rules, so that each level of the score is one cutoff on every rule, and laxer levels contain stricter ones.
+
+In each stratum the levels are gone through from the strictest on. A level is accepted while an exact binomial test on the
+calibration rows rejects that a good text reaches it with probability RISK or more; the first that isn't accepted ends
+the sequence, so nothing is lost along it. Strata are corrected for by Holm's rule: those whose sequences begin with the smallest p-values are tested
+at DELTA / (strata - rank), and no further than a stratum whose first level fails. Of the accepted levels the one is taken that rejects
+most bad rows less PENALTY times the good ones. So with probability 1 - DELTA, in every stratum the rules reject at most RISK of
+the good texts that the base rules keep. Strata with fewer good calibration rows than a test without any rejected one needs
+(``least_rows``) are one stratum together, for which the same holds as a whole; if that is too small too, it gets no cutoff.
+
+Nulls: a null text has no words; a null language is a stratum of its own, apart from the empty one; labels that are null are no labels; a doc_id with
 several labels counts as bad if one is 0. Repeated rows give a row each. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, held_out, materialize
+from .common import SPACES, held_out, materialize, small_or_plain
 from .pii import let
 
-WINDOW, RISK, DELTA, PENALTY, STEPS = 5, 0.02, 0.05, 20, 100
+WINDOW, RISK, DELTA, PENALTY, STEPS, LEARN, FLOOR = 5, 0.02, 0.05, 20, 100, 0.3, 0.002
 SYMBOLS = "#*$%&|<>"
 
 def shares() -> dict[str, Column]:
@@ -66,49 +72,104 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n!: exactly up to 20, beyond by Stirling's series (to 1e-13 of it)."""
+    x = F.greatest(n.cast("double"), F.lit(1.0))
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def at_most(k: Column, n: Column, p: float) -> Column:
-    """P(Binomial(n, p) <= k), summed in logarithms; 1 where k is n * p or more (the test can't reject there)."""
-    odds = math.log(p) - math.log1p(-p)
-    start = F.struct((n * math.log1p(-p)).alias("term"), (n * math.log1p(-p)).alias("total"))
+    """P(Binomial(n, p) <= k); 1 where k is n * p or more (the test can't reject there).
+
+    The terms from k downwards, each as a multiple of the first: below the mean they fall faster than a bell's, so that
+    what comes after 10 standard deviations of them is below a double's precision.
+    """
+    first = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
+    many = F.least(k, F.ceil(10 * F.sqrt(n * p)) + 60)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(acc, i):  # the i-th term below the first
+        term = acc["term"] * ((k - i + 1) * (1 - p) / ((n - k + i) * p))
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    def add(acc, i):
-        term = acc["term"] + F.log((n - i + 1) / i) + odds
-        return F.struct(term.alias("term"), (F.greatest(acc["total"], term) + F.log1p(F.exp(-F.abs(acc["total"] - term)))).alias("total"))
+    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), many.cast("long"))).otherwise(F.array().cast("array<long>"))
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.exp(first) * F.aggregate(steps, start, add, lambda acc: acc["total"]), F.lit(1.0)))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<long>"))
-    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(F.aggregate(steps, start, add, lambda acc: acc["total"])))
+
+def least_rows(strata: int, risk: float = RISK, delta: float = DELTA) -> int:
+    """Good rows without which no test can reject, at the level that the first of so many strata is tested at."""
+    return math.ceil(math.log(delta / max(1, strata)) / math.log1p(-risk))
+
+
+def _worth(steps: DataFrame, both: DataFrame) -> DataFrame:
+    """stratum, rule, step, worth: by how much bad rows at or beyond the step outnumber good ones, not falling as steps rise.
+
+    steps: (stratum, rule, step, good, bad) of learning rows; both: (stratum, goods, bads).
+    """
+    above = Window.partitionBy("stratum", "rule").orderBy(F.desc("step"))
+    below = Window.partitionBy("stratum", "rule").orderBy("step")
+    tails = steps.select("stratum", "rule", "step", F.sum("good").over(above).alias("g"), F.sum("bad").over(above).alias("b")).join(F.broadcast(both), "stratum")
+    ratio = (F.col("b") / F.greatest("bads", F.lit(1))) / (F.col("g") / F.greatest("goods", F.lit(1)) + FLOOR)
+    return tails.filter("step > 0").withColumn("ratio", ratio).select("stratum", "rule", "step", F.max("ratio").over(below).alias("worth"))
+
+
+def _levels(worth: DataFrame) -> DataFrame:
+    """stratum, level, and the lowest step of each rule that reaches it: every worth is a level."""
+    levels = worth.select("stratum", F.col("worth").alias("level")).filter("level > 0").distinct()
+    reached = levels.join(worth, "stratum").filter(F.col("worth") >= F.col("level"))
+    return reached.groupBy("stratum", "level").pivot("rule", list(shares())).agg(F.min("step"))
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff of every rule and stratum that has an accepted cutoff. rows: as ``measured`` gives them."""
+    """stratum (a struct of lang, so that a null one is one), and the least step of each rule that is rejected, null if none.
+
+    rows: as ``measured`` gives them. What is counted is as large as strata x rules x STEPS, whatever the number of rows.
+    """
     rules = shares()
-    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    used = rows.filter(~held_out()).filter(~base_failed()).join(known, "doc_id")
-    step = lambda c: F.floor(c * STEPS).cast("int")  # noqa: E731  a share's step: rejected by all lower cutoffs
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(c).alias("step")) for r, c in rules.items()])).alias("x")
-    counted = used.select(F.coalesce("lang", F.lit("")).alias("stratum"), "good", each).groupBy("stratum", "x.rule", "x.step").agg(
-        F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") != 1).cast("long")).alias("bad")
-    )
-    # what a cutoff at the start of a step rejects: all rows of that step and above
-    above = Window.partitionBy("stratum", "rule").orderBy(F.desc("step"))
-    whole = Window.partitionBy("stratum", "rule")
-    tried = counted.select("stratum", "rule", "step", F.sum("good").over(above).alias("k"), F.sum("bad").over(above).alias("caught"), F.sum("good").over(whole).alias("n"))
-    n_strata = tried.select(F.countDistinct("stratum").alias("strata"))
-    tested = tried.crossJoin(F.broadcast(n_strata)).withColumn("p", at_most(F.col("k"), F.col("n"), risk / len(rules)))
-    fails = F.max((F.col("p") > delta / (F.col("strata") * len(rules))).cast("int")).over(above)
-    kept = tested.withColumn("fails", fails).filter("fails = 0 and step > 0 and caught > 0").withColumn("gain", F.col("caught") - PENALTY * F.col("k")).filter("gain > 0")
-    best = kept.groupBy("stratum", "rule").agg(F.max_by("step", F.struct("gain", "step")).alias("step"))
-    return materialize(best.select("stratum", "rule", (F.col("step") / STEPS).alias("cutoff")), "rules-cutoffs")
+    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1).cast("int")).alias("good"))
+    learns = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1000)) < int(1000 * LEARN)
+    steps = [F.floor(c * STEPS).cast("int").alias(r) for r, c in rules.items()]
+    used = rows.filter(~held_out()).filter(~base_failed()).join(known, "doc_id").select(F.struct("lang").alias("own"), "good", learns.alias("learns"), *steps)
+    counted = used.groupBy("own", "learns", *rules).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    counted = materialize(counted, "rules-counted")  # distinct combinations of steps
+    goods = materialize(counted.groupBy("own").agg(F.sum(F.when(~F.col("learns"), F.col("good")).otherwise(0)).alias("goods")), "rules-strata")
+    need = least_rows(goods.count(), risk, delta)
+    # small strata are one together
+    pooled = goods.select("own", F.when(F.col("goods") >= need, F.col("own.lang")).alias("lang"), (F.col("goods") < need).alias("pooled"))
+    pooled = pooled.select("own", F.struct("lang", "pooled").alias("stratum"))
+    counted = materialize(counted.join(F.broadcast(pooled), "own").groupBy("stratum", "learns", *rules).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "rules-strata-counted")
+    learning, rest = counted.filter("learns"), counted.filter(~F.col("learns"))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in rules])).alias("x")
+    by_step = learning.select("stratum", "good", "bad", each).groupBy("stratum", "x.rule", "x.step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    both = learning.groupBy("stratum").agg(F.sum("good").alias("goods"), F.sum("bad").alias("bads"))
+    levels = materialize(_levels(materialize(_worth(by_step, both), "rules-worth")), "rules-levels")
+    cuts = levels.select(F.col("stratum").alias("s"), "level", *[F.col(r).alias(f"cut_{r}") for r in rules])
+    beyond = reduce(lambda x, y: x | y, [F.coalesce(F.col(r) >= F.col(f"cut_{r}"), F.lit(False)) for r in rules])
+    size = rest.groupBy("stratum").agg(F.sum("good").alias("n"))
+    hit = rest.join(F.broadcast(cuts), F.col("stratum").eqNullSafe(F.col("s"))).groupBy("stratum", "level")
+    hit = hit.agg(F.sum(F.when(beyond, F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(beyond, F.col("bad")).otherwise(0)).alias("caught"))
+    tried = materialize(hit.join(F.broadcast(size), "stratum").withColumn("p", at_most(F.col("k"), F.col("n"), risk)), "rules-tested")
+    # Holm over the strata, by the p-value of each one's first level
+    first = tried.groupBy("stratum").agg(F.max_by("p", "level").alias("p"))
+    order = Window.orderBy("p", F.xxhash64("stratum"))  # a row a stratum
+    ranked = first.withColumn("rank", F.row_number().over(order)).withColumn("strata", F.count("*").over(Window.partitionBy()))
+    alpha = delta / (F.col("strata") - F.col("rank") + 1)
+    ranked = ranked.withColumn("alpha", alpha).withColumn("stopped", F.max((F.col("p") > F.col("alpha")).cast("int")).over(order))
+    open_ = ranked.filter("stopped = 0").select(F.col("stratum").alias("s"), "alpha")
+    stricter = Window.partitionBy("stratum").orderBy(F.desc("level"))
+    gone = tried.join(F.broadcast(open_), F.col("stratum").eqNullSafe(F.col("s"))).withColumn("fails", F.max((F.col("p") > F.col("alpha")).cast("int")).over(stricter))
+    gain = F.col("caught") - PENALTY * F.col("k")
+    best = gone.filter("fails = 0").withColumn("gain", gain).filter("gain > 0").groupBy("stratum").agg(F.max_by("level", F.struct("gain", "level")).alias("level"))
+    best = best.join(levels, ["stratum", "level"]).select("stratum", *rules)
+    return materialize(pooled.join(F.broadcast(best), "stratum").select(F.col("own").alias("stratum"), *rules), "rules-cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the measures, base_failed, and kept: neither that nor beyond a cutoff of its stratum."""
+    """doc_id, the measures, base_failed, and kept: neither that nor at or beyond a cutoff of its stratum."""
     rows = materialize(measured(docs), "rules-measured")
-    chosen = cutoffs(rows, labels).groupBy("stratum").pivot("rule", list(shares())).agg(F.first("cutoff"))
-    chosen = chosen.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in shares()])
-    joined = rows.join(chosen, F.coalesce(rows["lang"], F.lit("")) == chosen["stratum"], "left")
-    beyond = [F.coalesce(share >= F.col(f"cut_{r}"), F.lit(False)) for r, share in shares().items()]
-    rejected = beyond[0]
-    for b in beyond[1:]:
-        rejected = rejected | b
+    chosen = cutoffs(rows, labels).select("stratum", *[F.col(r).alias(f"cut_{r}") for r in shares()])
+    joined = rows.join(small_or_plain(chosen), F.struct(rows["lang"]).eqNullSafe(chosen["stratum"]), "left")
+    beyond = [F.coalesce(F.floor(share * STEPS) >= F.col(f"cut_{r}"), F.lit(False)) for r, share in shares().items()]
+    rejected = reduce(lambda x, y: x | y, beyond)
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("stratum", *[f"cut_{r}" for r in shares()])
