@@ -5,14 +5,16 @@
    BLOCK words. A word's place comes from running sums over many small chunks of a source, not over the source at once.
 2. Targets: the sources share all words by weight; none gets more than LIMIT times its own size, the excess is
    reshared by weight among the others until none is above.
-3. A source's target is a number of block slots. The output is made of SHARDS shards of about as many slots;
-   each shard's numbers of slots by source are a multinomial draw with the slots still to be filled as weights, cut at
-   what a source has left. The draws are seeded.
+3. A source's target is a number of block slots. The output is made of shards of about SHARD_SLOTS slots each; a shard's
+   numbers of slots by source are a multinomial draw with the slots still to be filled as weights, cut at what a
+   source has left. So that no task goes through all shards, the draws go down a tree: all slots are drawn for PARTS parts of the shards,
+   the slots of each part for PARTS parts of it, until a part is one shard. Each part's draw is seeded by the shards it is of.
 4. A source's i-th slot takes, of its blocks, the one at place i modulo their number under a pseudorandom permutation (a keyed
    Feistel network with cycle walking) of that round: each block is taken once before any is taken again.
 5. Slots and blocks are joined by (source, block index).
 
-Only the table of sources, not of documents, reaches the driver. Nulls: a null text has size 0; a null source is a source of
+Only the sources' sizes, some numbers and a name for each, reach the driver; tables with a row a source are broadcast if their
+bytes are counted and few. Nulls: a null text has size 0; a null source is a source of
 its own, last in order; a null doc_id is carried. Repeated rows are separate texts. A source of size 0 has target 0.
 Empty tables give empty results. ``mix`` carries all columns.
 """
@@ -22,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, small_batches, tidied
+from .common import materialize, parallelism, small_batches, small_or_plain, tidied
 
-WEIGHTS, LIMIT, BLOCK, SHARD_SLOTS, MOST_SHARDS, CHUNK_ROWS, SEED = (5.0, 2.0, 1.0), 3.0, 64, 16384, 1024, 4096, 29
+WEIGHTS, LIMIT, BLOCK, SHARD_SLOTS, PARTS, CHUNK_ROWS, SEED = (5.0, 2.0, 1.0), 3.0, 64, 16384, 64, 1024, 29
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,7 +44,8 @@ def water_fill(sizes: list[int], weights: list[float], limit: float = LIMIT) ->
         for i in over:
             targets[i] = limit * sizes[i]
         left -= sum(targets[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        full = set(over)
+        open_ = [i for i in open_ if i not in full]
     return targets
 
 
@@ -68,17 +71,16 @@ def permuted(index, n, key):
     return out.astype(np.int64)
 
 
-def draws(slots: list[int], n_shards: int, seed: int = SEED) -> list[list[int]]:
-    """For each shard the number of slots of each source; over all shards each source's add up to its slots."""
+def draws(slots, shards: list[int], seed) -> list[list[int]]:
+    """For each part (of so many ``shards``) the number of slots of each source; over all parts each source's add up to its slots."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    left, out = np.array(slots, np.int64), []
-    for k in range(n_shards):
-        size = int(left.sum()) // (n_shards - k)
-        take = np.zeros(len(slots), np.int64)
-        if k == n_shards - 1:
-            take = left.copy()
+    left, to_fill, out = np.array(slots, np.int64), sum(shards), []
+    for n in shards:
+        size = int(left.sum()) * n // to_fill
+        to_fill -= n
+        take = left.copy() if not to_fill else np.zeros(len(left), np.int64)
         while size > int(take.sum()):
             rest = left - take
             take += np.minimum(rng.multinomial(size - int(take.sum()), rest / rest.sum()), rest)
@@ -87,6 +89,47 @@ def draws(slots: list[int], n_shards: int, seed: int = SEED) -> list[list[int]]:
     return out
 
 
+def parts_of(low: int, high: int) -> list[tuple[int, int]]:
+    """The shards low .. high - 1 in PARTS parts or fewer, even ones."""
+    n = min(PARTS, high - low)
+    edges = [low + (high - low) * k // n for k in range(n + 1)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+NODE = "low long, high long, source_no array<int>, begin array<long>, n array<long>"
+
+
+def _drawn(batches):
+    """Each node of the tree, some shards and the sources' slots in them, as its parts."""
+    import pandas as pd
+
+    for frame in batches:
+        rows = []
+        for r in frame.itertuples(index=False):
+            if r.high - r.low == 1:
+                rows.append((r.low, r.high, r.source_no, r.begin, r.n))
+                continue
+            parts, begin = parts_of(int(r.low), int(r.high)), [int(b) for b in r.begin]
+            for (low, high), taken in zip(parts, draws(r.n, [b - a for a, b in parts], [SEED, int(r.low), int(r.high)]), strict=True):
+                some = [i for i, k in enumerate(taken) if k]
+                rows.append((low, high, [int(r.source_no[i]) for i in some], [begin[i] for i in some], [taken[i] for i in some]))
+                begin = [b + k for b, k in zip(begin, taken, strict=True)]
+        yield pd.DataFrame(rows, columns=["low", "high", "source_no", "begin", "n"])
+
+
+def shard_runs(spark, slots: list[int]) -> DataFrame:
+    """source_no, shard, begin, n: which of its slots, n from ``begin`` on, each source has in each shard. A run is no longer than a shard."""
+    some = [(i, n) for i, n in enumerate(slots) if n]
+    n_shards = max(1, -(-sum(slots) // SHARD_SLOTS))
+    root = [(0, n_shards, [i for i, _ in some], [0] * len(some), [n for _, n in some])]
+    nodes, widest, n_nodes = spark.createDataFrame(root, NODE), n_shards, 1
+    while widest > 1:
+        nodes = materialize(nodes.repartition(min(n_nodes, parallelism(spark))).mapInPandas(tidied(_drawn), NODE), "mix-draws")
+        widest, n_nodes = -(-widest // PARTS), min(n_shards, n_nodes * PARTS)
+    each = nodes.select(F.col("low").alias("shard"), F.explode(F.arrays_zip("source_no", "begin", "n")).alias("z"))
+    return each.select("z.source_no", "shard", "z.begin", "z.n")
+
+
 def _streams(rows: DataFrame) -> DataFrame:
     """rows (uid, rank, source, size) with first: the place of the row's first word in its source's stream."""
     n = rows.count()
@@ -117,17 +160,10 @@ def plan(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, block: int = BL
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(held))], limit)
     n_blocks = [-(-n // block) for n in sizes]
     slots = [min(round(t * b / n), int(limit * b)) if n else 0 for t, b, n in zip(targets, n_blocks, sizes, strict=True)]
-    n_shards = max(1, min(MOST_SHARDS, -(-sum(slots) // SHARD_SLOTS)))
-    runs, begun = [], [0] * len(slots)
-    for shard, counts in enumerate(draws(slots, n_shards)):
-        for i, c in enumerate(counts):
-            if c:
-                runs.append((i, shard, begun[i], c))
-                begun[i] += c
     table = [(i, name, n, t, b) for i, ((name, n), t, b) in enumerate(zip(held, targets, n_blocks, strict=True))]
-    sources = spark.createDataFrame(table, "source_no int, source string, source_size long, target double, n_blocks long")
-    drawn = spark.createDataFrame(runs, "source_no int, shard int, begin long, n long").repartition(parallelism(spark))
-    slot = drawn.join(F.broadcast(sources.select("source_no", "n_blocks")), "source_no").select("source_no", "shard", "n_blocks", F.explode(F.sequence("begin", F.col("begin") + F.col("n") - 1)).alias("slot"))
+    sources = small_or_plain(spark.createDataFrame(table, "source_no int, source string, source_size long, target double, n_blocks long"))
+    drawn = shard_runs(spark, slots).repartition(parallelism(spark))
+    slot = drawn.join(sources.select("source_no", "n_blocks"), "source_no").select("source_no", "shard", "n_blocks", F.explode(F.sequence("begin", F.col("begin") + F.col("n") - 1)).alias("slot"))
 
     @F.pandas_udf("long")
     def block_of(slot, n_blocks, source_no):
@@ -137,7 +173,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, block: int = BL
         return pd.Series(permuted(slot.to_numpy() % n_blocks.to_numpy(), n_blocks.to_numpy(), key))
 
     taken = slot.select("source_no", "shard", "slot", block_of("slot", "n_blocks", "source_no").alias("block_no"))
-    numbered = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).select("uid", "doc_id", "rank", rows["source"], "size", "first", "source_no", "source_size", "target")
+    numbered = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select("uid", "doc_id", "rank", rows["source"], "size", "first", "source_no", "source_size", "target")
     last = F.col("first") + F.col("size")
     low = F.floor(F.col("first") / block)
     cut = numbered.filter("size > 0").select("uid", "source_no", "first", last.alias("last"), F.explode(F.sequence(low, F.floor((last - 1) / block))).alias("block_no"))
