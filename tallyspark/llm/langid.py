@@ -1,8 +1,8 @@
 """Language identification by words first, with backoff to ever shorter character n-grams.
 
 Learned on a bounded sample: SAMPLE rows of each language, the first in the order of a hash of doc_id, of the rows
-with a language and a text that aren't held out. Known words are the WORDS most frequent ones that occur twice or more,
-known n-grams (of 1 to LONGEST characters, a word's borders being characters) the GRAMS most frequent of each length. A text's
+with a language and a text that aren't held out. Known words are all that occur twice or more in it, known n-grams (of 1 to
+LONGEST characters, a word's borders being characters) all that occur: what is learned has no other bound than the sample's. A text's
 score for a language adds, for each word, its log frequency in the language; for a word that isn't known, the mean log
 frequency of its known n-grams of the longest length of which it has any; a word without any adds nothing. The
 highest sum is the prediction, ties going to the language first by name; the score is its share of a softmax over the mean of a word, sharpened
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import first_by_hash, held_out, small_batches, tidied
 
-SAMPLE, WORDS, GRAMS, LONGEST, SHARP, SMOOTH = 1500, 100_000, 60_000, 5, 30, 0.1
+SAMPLE, LONGEST, SHARP, SMOOTH = 1500, 5, 30, 0.1
 
 
 def has_letter(text) -> bool:
@@ -46,13 +46,11 @@ class _Counts:
         total[np.searchsorted(union, keys)] += counts
         self.keys, self.counts = union, total
 
-    def table(self, most: int, least: int):
-        """Sorted keys and their log frequencies in each language, of the ``most`` commonest that occur ``least`` times."""
+    def table(self, least: int):
+        """Sorted keys and their log frequencies in each language, of those that occur ``least`` times or more."""
         import numpy as np
 
-        total = self.counts.sum(axis=1)
-        chosen = np.flatnonzero(total >= least)
-        chosen = np.sort(chosen[np.lexsort((self.keys[chosen], -total[chosen]))][:most])
+        chosen = np.flatnonzero(self.counts.sum(axis=1) >= least)
         logs = np.log((self.counts[chosen] + SMOOTH) / (self.counts.sum(axis=0) + SMOOTH * (len(self.keys) + 1)))
         return self.keys[chosen], logs.astype(np.float32)
 
@@ -73,14 +71,14 @@ def learn(texts: list[str], langs: list[str]):
     for a, b in parts:
         w = Words([t.lower() for t in texts[a:b]])
         counts.add(w.hashes(41), number[a:b][w.doc])
-    word_table, grams = counts.table(WORDS, 2), []
+    word_table, grams = counts.table(2), []
     for n in range(LONGEST, 0, -1):
         counts = _Counts(len(names))
         for a, b in parts:
             c = Characters([t.lower() for t in texts[a:b]])
             h, at = c.grams(n, 7)
             counts.add(h, number[a:b][c.doc[at]])
-        grams.append(counts.table(GRAMS, 1))
+        grams.append(counts.table(1))
     return names, word_table, grams
 
 
