@@ -7,9 +7,11 @@
    doc_id, doc_id), which is mostly the same in all bands of a group. Odd sketches (the samples folded into a parity
    bitmap; the count of the bits in which two differ estimates the similarity) drop pairs that are far below the
    threshold; the others are confirmed on their whole sets. So a group of n close copies costs about n comparisons.
-4. Components by repeated minimum labels with shortcuts, in tables of the shared folder.
+4. Components: every class takes its smallest leader, and only the leaders' graph, which is far smaller, is gone through by
+   repeated minimum labels with shortcuts, in tables of the shared folder.
 5. Buckets whose members aren't yet one component are gone through exactly: their members are cut by component into
-   chunks of bounded size, and pairs of chunks that don't belong to one component are compared on whole sets. Only one
+   chunks of bounded size. Pairs of chunks that don't belong to one component meet as ids first, then by the odd sketches of their
+   members; the members that are near to one of another component, and no others, are compared on whole sets. Only one
    link for each two components leaves a pair of chunks. So no link that could join two components is lost in any
    bucket, whatever its size, and no group is held by one task. Then the components are made again.
 
@@ -25,10 +27,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, session_conf, small_batches, small_or_plain, tidied
+from .common import attached, discard, materialize, parallelism, session_conf, small_batches, small_or_plain, tidied
 
 WIDTH, THRESHOLD, BANDS, ROWS, BITS = 4, 80, 40, 7, 1024
-BROADCAST_ROWS, CHUNK = 300_000, 40_000
+CHUNK, NODE_SIZE = 40_000, 20  # a chunk's shingles, each text counting as so many more
 
 
 # ---------------------------------------------------------------- signatures
@@ -145,8 +147,32 @@ def intersections(one: list, two: list):
     return out
 
 
+def _near_across(most: int):
+    """Of the members of each pair of chunks those that are near, by their sketches, to one of another component in the other chunk."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for frame in batches:
+            rows = []
+            for r in frame.itertuples(index=False):
+                one, two = (([m["node"] for m in side], np.array([m["component"] for m in side]), np.array([m["sketch"] for m in side], np.int64).view(np.uint64)) for side in (r.one, r.two))
+                hit1, hit2 = np.zeros(len(one[0]), bool), np.zeros(len(two[0]), bool)
+                for at in range(0, len(one[0]), 32):
+                    bits = np.bitwise_count(one[2][at : at + 32, None, :] ^ two[2][None, :, :]).sum(axis=2, dtype=np.int64)
+                    near = (bits <= most) & (one[1][at : at + 32, None] != two[1][None, :])
+                    hit1[at : at + 32] = near.any(axis=1)
+                    hit2 |= near.any(axis=0)
+                for side, (nodes, parts, _), hit in ((1, one, hit1), (2, two, hit2)):
+                    rows += [(r.pair, side, nodes[i], int(parts[i])) for i in np.flatnonzero(hit)]
+            yield pd.DataFrame(rows, columns=["pair", "side", "node", "component"])
+
+    return run
+
+
 def _linked_across(threshold: int):
-    """One confirmed link for each two components of a pair of chunks."""
+    """One confirmed link for each two components of a pair of chunks: held has the members of both."""
 
     def run(batches):
         import numpy as np
@@ -154,8 +180,8 @@ def _linked_across(threshold: int):
 
         for frame in batches:
             links = []
-            for r in frame.itertuples(index=False):
-                one, two = ([(m["node"], m["component"], np.frombuffer(m["shingles"], np.uint64)) for m in side] for side in (r.one, r.two))
+            for held in frame["held"]:
+                one, two = ([(m["node"], m["component"], np.frombuffer(m["shingles"], np.uint64)) for m in held if m["side"] == side] for side in (1, 2))
                 sizes1, sizes2 = (np.array([len(m[2]) for m in side], float) for side in (one, two))
                 both = intersections([m[2] for m in one], [m[2] for m in two])
                 close = 100 * both >= threshold * (sizes1[:, None] + sizes2[None, :] - both)
@@ -172,12 +198,13 @@ def _linked_across(threshold: int):
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def _propagated(edges: DataFrame, label: str) -> DataFrame:
     """node, component (its smallest node) of every node of the edges (a, b), by minimum labels and shortcuts."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     links = materialize(both.distinct(), f"{label}-links")
     low = materialize(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), label)
-    while True:
+    changed = low.limit(1).count()
+    while changed:
         # a node takes the smallest label among its neighbours', then that label's own label
         offer = links.join(low.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("offer"))
         better = low.join(offer, "node").select("node", F.col("component").alias("was"), F.least("component", "offer").alias("component"))
@@ -185,10 +212,32 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         up = better.select(F.col("node").alias("component"), F.col("component").alias("above"))
         short = better.join(up, "component", "left").select("node", "was", F.coalesce("above", "component").alias("component"))
         short = materialize(short, label)
-        changed = short.filter("was <> component").limit(1).count()
-        low = short.select("node", "component")
-        if not changed:
-            return low
+        discard(low, better)
+        changed, low = short.filter("was <> component").limit(1).count(), short
+    discard(links)
+    return low.select("node", "component")
+
+
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """node, component (its smallest node) of every node of the edges (a, b).
+
+    Every b takes its smallest a as its head; what is left to go through are the edges between heads.
+    """
+    links = materialize(edges.filter("a <> b").select("a", "b").distinct(), f"{label}-edges")
+    star = materialize(links.groupBy("b").agg(F.min("a").alias("head")), f"{label}-stars")
+    heads = materialize(links.select("a").distinct(), f"{label}-heads")
+    inner = links.join(star, "b").filter("a <> head").select(F.col("head").alias("a"), F.col("a").alias("b"))
+    own = star.join(heads, F.col("b") == F.col("a"), "left_semi").select(F.col("b").alias("a"), F.col("head").alias("b"))
+    between = materialize(inner.union(own).distinct(), f"{label}-between")
+    nodes = star.select(F.col("b").alias("node"), "head").union(heads.select(F.col("a").alias("node"), F.col("a").alias("head"))).groupBy("node").agg(F.min("head").alias("head"))
+    if between.limit(1).count():
+        found = materialize(_propagated(between, label).select(F.col("node").alias("head"), F.col("component").alias("name")), f"{label}-named")
+        nodes = attached(nodes, found, "head", "left").select("node", F.coalesce("name", "head").alias("head"))
+    nodes = materialize(nodes, f"{label}-nodes")
+    lowest = materialize(nodes.groupBy("head").agg(F.min("node").alias("component")), f"{label}-lowest")
+    out = materialize(attached(nodes, lowest, "head").select("node", "component"), label)
+    discard(links, star, heads, between, nodes, lowest)
+    return out
 
 
 # ---------------------------------------------------------------- the operator
@@ -197,7 +246,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 def _whole_sets(nodes: DataFrame, docs: DataFrame, width: int, label: str) -> DataFrame:
     """node, shingles: the set of each node. Sets are made only of texts that have to be compared."""
     nodes = materialize(nodes.select("node").distinct(), f"{label}-nodes")
-    texts = docs.join(small_or_plain(nodes, nodes.count(), BROADCAST_ROWS), docs["doc_id"] == nodes["node"]).select("node", "text")
+    texts = docs.join(small_or_plain(nodes), docs["doc_id"] == nodes["node"]).select("node", "text")
     return materialize(texts.mapInPandas(tidied(_sets(width)), "node long, shingles binary"), f"{label}-sets")
 
 
@@ -241,14 +290,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
 def _members(reps: DataFrame) -> DataFrame:
     """key, node, leader, for band buckets of two members or more; of buckets with the same members, one."""
     banded = reps.select("node", F.explode("bands").alias("key"))
-    shared = materialize(banded.groupBy("key").count().filter("count > 1").select("key"), "neardup-shared")
-    members = materialize(banded.join(small_or_plain(shared, shared.count(), BROADCAST_ROWS), "key").select("key", "node"), "neardup-banded")
     rank = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))
-    described = members.groupBy("key").agg(
+    described = banded.groupBy("key").agg(
         F.min(rank)["node"].alias("leader"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("x2")
     )
-    single = described.groupBy("n", "x1", "x2").agg(F.min(F.struct("key", "leader")).alias("m")).select("m.key", "m.leader")
-    return materialize(members.join(single, "key").select("key", "node", "leader"), "neardup-members")
+    described = materialize(described.filter("n > 1"), "neardup-buckets")
+    single = materialize(described.groupBy("n", "x1", "x2").agg(F.min(F.struct("key", "leader")).alias("m")).select("m.key", "m.leader"), "neardup-single")
+    members = materialize(banded.join(small_or_plain(single), "key").select("key", "node", "leader"), "neardup-members")
+    discard(described, single)
+    return members
 
 
 def _links(reps: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -257,8 +307,9 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, threshold: int) -> Data
     pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     one, two = (reps.select(F.col("node").alias(c), F.col("sketch").alias(s)) for c, s in (("a", "k1"), ("b", "k2")))
     differing = F.aggregate(F.zip_with("k1", "k2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(one, "a").join(two, "b").filter(differing <= most_differing(threshold)).select("a", "b")
-    led = _confirm(materialize(near, "neardup-near"), docs, width, threshold)
+    near = materialize(pairs.join(one, "a").join(two, "b").filter(differing <= most_differing(threshold)).select("a", "b"), "neardup-near")
+    led = _confirm(near, docs, width, threshold)
+    discard(near)
     across = _across(members, reps, components(led, "neardup-first"), docs, width, threshold)
     return led.union(across)
 
@@ -266,30 +317,37 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, threshold: int) -> Data
 def _across(members: DataFrame, reps: DataFrame, first: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """Links between different components of a bucket."""
     spark = members.sparkSession
-    sizes = reps.select("node", "n_shingles")
+    size = (F.col("n_shingles") + NODE_SIZE).alias("size")
     known = members.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    known = materialize(known.join(mixed, "key").join(sizes, "node"), "neardup-mixed")
-    by_part = known.groupBy("key", "component").agg(F.sum("n_shingles").alias("size"))
-    by_part = by_part.withColumn("large", F.col("size") > CHUNK)
+    known = materialize(known, "neardup-known")
+    mixed = materialize(known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key"), "neardup-mixed")
+    known = materialize(known.join(small_or_plain(mixed), "key").join(reps.select("node", size), "node"), "neardup-open")
+    by_part = known.groupBy("key", "component").agg(F.sum("size").alias("size"))
+    by_part = materialize(by_part.withColumn("large", F.col("size") > CHUNK), "neardup-parts")
     small = by_part.groupBy("key").agg(F.sum(F.when(~F.col("large"), F.col("size"))).alias("small_size"))
     parts = by_part.join(small, "key")
     label = F.when(F.col("large"), F.col("component"))
     count = F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("small_size")) / CHUNK)
-    chunked = known.join(parts.select("key", "component", label.alias("owner"), count.alias("n")), ["key", "component"])
+    chunked = known.join(small_or_plain(materialize(parts.select("key", "component", label.alias("owner"), count.alias("n")), "neardup-owners")), ["key", "component"])
     salt = F.pmod(F.xxhash64(F.when(F.col("owner").isNull(), F.col("component")).otherwise(F.col("node"))), F.col("n"))
-    chunked = materialize(chunked.select("key", "node", "component", "owner", salt.alias("salt")), "neardup-chunked")
-    sets = _whole_sets(known, docs, width, "neardup-across")
+    chunked = chunked.select("key", "node", "component", "owner", salt.alias("salt"))
+    chunked = materialize(chunked.withColumn("chunk", F.xxhash64("key", "owner", "salt")), "neardup-chunked")
+    # pairs of chunks, as ids
+    chunks = chunked.select("key", "owner", "salt", "chunk").distinct()
+    one, two = chunks.alias("one"), chunks.alias("two")
+    order = lambda side: F.struct(F.col(f"{side}.owner").isNotNull(), F.col(f"{side}.owner"), F.col(f"{side}.salt"))
+    apart = (F.col("one.key") == F.col("two.key")) & (order("one") <= order("two")) & ~F.coalesce(F.col("one.owner") == F.col("two.owner"), F.lit(False))
+    pairs = one.join(two, apart).select(F.col("one.chunk").alias("c1"), F.col("two.chunk").alias("c2")).distinct()
+    pairs = materialize(pairs.withColumn("pair", F.xxhash64("c1", "c2")), "neardup-pairs")
     with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="16"):
-        held = chunked.join(sets, "node").groupBy("key", "owner", "salt").agg(F.collect_list(F.struct("node", "component", "shingles")).alias("held"))
-        chunks = chunked.select("key", "owner", "salt").distinct()
-        many = chunks.groupBy("key").count().filter("count > 1").select("key")
-        alone = held.join(many, "key", "left_anti").select(F.col("held").alias("one"), F.col("held").alias("two"))
-        several = materialize(held.join(many, "key", "left_semi"), "neardup-chunks")
-        one, two = several.alias("one"), several.alias("two")
-        order = lambda side: F.struct(F.coalesce(F.col(f"{side}.owner"), F.lit(-1)), F.col(f"{side}.salt"))
-        apart = (F.col("one.key") == F.col("two.key")) & (order("one") <= order("two")) & ~F.coalesce(F.col("one.owner") == F.col("two.owner"), F.lit(False))
-        both = one.join(two, apart).select(F.col("one.held").alias("one"), F.col("two.held").alias("two"))
-        run = _linked_across(threshold)
-        links = [x.mapInPandas(tidied(run), "a long, b long") for x in (alone, both.repartition(parallelism(spark)))]
-        return materialize(links[0].union(links[1]).distinct(), "neardup-across")
+        sketches = chunked.join(reps.select("node", "sketch"), "node").groupBy("chunk").agg(F.collect_list(F.struct("node", "component", "sketch")).alias("held"))
+        sketches = materialize(sketches, "neardup-sketches")
+        first_, second = sketches.select(F.col("chunk").alias("c1"), F.col("held").alias("one")), sketches.select(F.col("chunk").alias("c2"), F.col("held").alias("two"))
+        both = pairs.join(first_, "c1").join(second, "c2").select("pair", "one", "two").repartition(parallelism(spark), "pair")
+        near = materialize(both.mapInPandas(tidied(_near_across(most_differing(threshold))), "pair long, side int, node long, component long"), "neardup-across-near")
+        sets = _whole_sets(near, docs, width, "neardup-across")
+        held = near.join(sets, "node").groupBy("pair").agg(F.collect_list(F.struct("side", "node", "component", "shingles")).alias("held"))
+        links = held.select("held").mapInPandas(tidied(_linked_across(threshold)), "a long, b long")
+        links = materialize(links.distinct(), "neardup-across")
+    discard(known, mixed, by_part, chunked, pairs, sketches, near, sets)
+    return links
