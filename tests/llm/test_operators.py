@@ -247,7 +247,7 @@ def test_secrets(spark, odd):
 
 
 def test_automaton_is_minimal_and_right():
-    classes, moves, accepted = secret_scan.compile_rules((r"a(b|c)+d", r"[0-9]{3}"))
+    classes, moves, accepted = secret_scan.compile_rules(tuple(map(secret_scan.parsed, (r"a(b|c)+d", r"[0-9]{3}"))))
     texts = ["".join(random.Random(i).choice("abcd01 ") for _ in range(12)) for i in range(300)]
     for t in texts:
         state = hit = 0
@@ -328,7 +328,7 @@ def test_mixing(spark):
 def test_permutation_and_draws():
     for n in (1, 2, 3, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 9))) == list(range(n))
-    shards = mixing.draws([1000, 0, 37, 5], 8)
+    shards = mixing.draws([1000, 0, 37, 5], [1] * 8, 3)
     assert np.array(shards).sum(axis=0).tolist() == [1000, 0, 37, 5]
     assert max(map(sum, shards)) - min(map(sum, shards)) <= 8
 
