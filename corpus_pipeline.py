@@ -29,17 +29,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row whose doc_id stands for its group; of rows that repeat a doc_id, one. Rows without a doc_id stay."""
-    found = near_duplicates(docs, DEDUP_WORDS, DEDUP_SIMILARITY)
-    gone = materialize(found.filter("not kept").select("doc_id").distinct(), "dedup-gone")
-    left = docs.join(small_or_plain(gone, gone.count(), 300_000), "doc_id", "left_anti").select(*docs.columns)
+    """Every row that stands for its group. Rows that repeat a doc_id are texts of their own: of those that agree in the text too
+    one stays, others are compared as any two texts. Rows without a doc_id stay."""
     again = materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "dedup-again")
-    n = again.count()
-    if not n:
-        return left
-    again = small_or_plain(again, n, 300_000)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    repeats = again.limit(1).count() > 0
+    own = F.col("doc_id").cast("long")
+    rows = docs.withColumns({"__row": own, "__twice": F.lit(False)})
+    if repeats:  # a number of its own for each text of a repeated id
+        twice = small_or_plain(again.withColumn("__twice", F.lit(True)))
+        of_text = -F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 1) - 1
+        rows = docs.join(twice, "doc_id", "left").withColumn("__twice", F.coalesce("__twice", F.lit(False)))
+        rows = rows.withColumn("__row", F.when(F.col("__twice"), of_text).otherwise(own))
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), DEDUP_WORDS, DEDUP_SIMILARITY)
+    gone = materialize(found.filter("not kept").select(F.col("doc_id").alias("__row")).distinct(), "dedup-gone")
+    left = rows.join(small_or_plain(gone), "__row", "left_anti")
+    if repeats:
+        alike = left.filter("__twice").select("__row", F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("h"))
+        once = alike.groupBy("__row").agg(F.min_by("row", "h").alias("row")).select("row.*")
+        return left.filter("not __twice").select(*docs.columns).unionByName(once)
+    return left.select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
