@@ -1,16 +1,19 @@
 """Main text of web pages by two passes of block rules.
 
 The markup is cut into blocks at block-level tags. Blocks in elements that are never text (scripts, styles, forms, menus,
-headers, footers, sidebars) or whose class or id names an advert, a notice or reader comments are dropped at once; but an element
-named for having or lacking such a part (with-sidebar, no-sidebar) isn't, and where one by its name would go with main in it, or one
+headers, footers, sidebars) or whose class or id is a name of an advert, a notice or reader comments are dropped at once. Names count as wholes: a
+name of a part, with words before and after it that only say where it is or that it is a box (site-header, comment-list), so that
+share-price, related-work, article-header and with-sidebar are none. Where an element so named would go with main in it, or one
 named for a part of the layout with all of the page's articles, the page is read without and with it, and the longer text taken. Pass one
 classifies the others by length, stop-word density and link density: bad (mostly links), good (long, with stop words), near good, short.
 Pass two gives the undecided ones the label of the nearest decided neighbours in the same region: good if one of the nearest on
-either side is, bad if both are. Where a page marks its article (article, main), that is the region to read, only its blocks count as neighbours, and
-blocks without decided neighbours are good there, and bad elsewhere. Where no block has stop words of a known language, as far as
-they are known, length and link density alone decide; a Chinese, Japanese or Korean character counts as three there.
+either side is, bad if both are. Where a page marks its article (article, main), that is the region to read, unless what is good
+outside is more than TEASER times as long: then the marked parts are teasers, and the rest is the region. Only a region's blocks count as neighbours. In
+an article, blocks that are mostly links (references) are undecided, not bad, and blocks without decided neighbours are good; elsewhere they are bad.
+Where no block has stop words of a known language, as far as they are known, and in blocks of Chinese, Japanese or Korean, length
+and link density alone decide; a character of these counts as three.
 
-Nulls: a null html is an empty page, with an empty text; null page_id and url are carried. Repeated rows give a row each.
+Time is linear in the page's length, whatever its markup. Nulls: a null html is an empty page, with an empty text; null page_id and url are carried. Repeated rows give a row each.
 Empty tables give empty results. Broken markup (tags left open, pages cut off) never raises. Other columns are ignored.
 """
 
@@ -33,14 +36,21 @@ BLOCK_TAGS = set(
 SKIPPED_TAGS = set("script style noscript template head title nav footer aside form menu iframe object svg math canvas select button textarea dialog audio video".split())
 RAW_TAGS = "script style noscript template textarea title iframe xmp".split()
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|comments?|disqus|replies|respond|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|"
-    r"masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|widget|toolbar|pagination|pager)(?:$|[\s_-])",
-    re.I,
+_PLACE = r"(?:site|page|top|bottom|left|right|main|global|primary|secondary|mobile|desktop|sticky|fixed|floating|layout|blog|sub|wp|the|g|l|m|u|c)[_-]"
+_BOX = (
+    r"(?:[_-](?:box|wrap|wrapper|container|block|area|section|list|bar|slot|unit|links?|items?|posts|articles|stories|content|inner|outer|body|form|group|panel|top|bottom|left|right|main|"
+    r"primary|secondary|title|heading|toggle|button|buttons|icons?|text|message|menu|nav|banner|notice|sidebar|widget|popup|overlay|placeholder|[0-9]+))*"
 )
-LAYOUT_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|sidebar|side-bar|menu|nav|navbar|navigation|footer|header|masthead|widget|toolbar)(?:$|[\s_-])", re.I)
+_LAYOUT = r"(?:banner|sidebar|side-bar|menu|nav|navbar|navigation|footer|header|masthead|widgets?|toolbar)"
+_OTHER = (
+    r"(?:ads?|advert\w*|sponsor(?:ed|s|ship)?|promo(?:tion|tions)?|comments?|disqus|replies|respond|breadcrumbs?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|"
+    r"signup|login|social|share|sharing|related|recommended|pagination|pager)"
+)
+_OF_ARTICLE = r"(?:article|post|entry|story)[_-](?=comments?|share|sharing|social|related|recommended|nav|navigation|pagination|footer|sidebar|ads?(?:$|[_-]))"
+SKIPPED_NAMES = re.compile(rf"(?:{_PLACE})*(?:{_OF_ARTICLE})?(?:{_LAYOUT}|{_OTHER}){_BOX}", re.I)
+LAYOUT_NAMES = re.compile(rf"(?:{_PLACE})*(?:{_OF_ARTICLE})?{_LAYOUT}{_BOX}", re.I)
 HAVING = re.compile(r"(?:^|[_-])(?:with|without|no|has|have)[_-]", re.I)
-BUILDER = re.compile(r"^elementor-widget(?=$|[_-])", re.I)  # a page builder's name of any block, text or not
+BUILDER = re.compile(r"^elementor-widget(?:$|[_-])", re.I)  # a page builder's name of any block, text or not
 STOP_WORDS_OF = [
     set("the of and to in a is that for it was on with as be by this are from at or an have not but his they which you we".split()),
     set("der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei".split()),
@@ -48,7 +58,7 @@ STOP_WORDS_OF = [
     set("el los y del se las por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre".split()),
 ]
 STOP_WORDS = set().union(*STOP_WORDS_OF)
-LONG, SHORT, DENSE, SPARSE, LINKED, KNOWN = 200, 70, 0.3, 0.12, 0.35, 4
+LONG, SHORT, DENSE, SPARSE, LINKED, KNOWN, TEASER = 200, 70, 0.3, 0.12, 0.35, 4, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
@@ -62,7 +72,7 @@ _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
 def _names(attrs: str) -> list[str]:
     """Names in class, id and role that stand for what isn't text."""
     found = [x for m in _NAMED.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split()]
-    return [x for x in found if not HAVING.search(x) and SKIPPED_NAMES.search(BUILDER.sub("", x))]
+    return [x for x in found if not HAVING.search(x) and SKIPPED_NAMES.fullmatch(BUILDER.sub("", x))]
 
 
 def _refused(name: str, attrs: str, in_article: bool) -> str:
@@ -74,7 +84,7 @@ def _refused(name: str, attrs: str, in_article: bool) -> str:
             return "tag"
         names = _names(attrs)
         if names:
-            return "layout" if all(LAYOUT_NAMES.search(x) for x in names) else "name"
+            return "layout" if all(LAYOUT_NAMES.fullmatch(BUILDER.sub("", x)) for x in names) else "name"
     return ""
 
 
@@ -82,7 +92,7 @@ def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, i
     """(text, characters of it in links, whether in an article) of each block that isn't in a refused element; elements
     that begin at ``exempt`` places aren't refused. The places of refused ones that seem to hold the article go to ``wrappers``."""
     out, stack, text = [], [], []
-    open_named, mains, holding, articles = [], set(), {}, 0
+    open_named, mains, holding, articles, depth = [], set(), {}, 0, {}
     refused = links = article = at = 0
     linked = 0
 
@@ -98,6 +108,7 @@ def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, i
     def leave():
         nonlocal refused, links, article
         tag, no = stack.pop()
+        depth[tag] -= 1
         refused -= no
         if open_named and open_named[-1][0] == len(stack):
             open_named.pop()
@@ -125,10 +136,10 @@ def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, i
         if name in BLOCK_TAGS:
             close_block()
         if m["close"]:
-            places = [i for i, (tag, _) in enumerate(stack) if tag == name]
-            if places:
-                while len(stack) > places[-1]:
+            if depth.get(name):
+                while stack[-1][0] != name:
                     leave()
+                leave()
             continue
         if name in RAW_TAGS:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -136,7 +147,7 @@ def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, i
             continue
         if name in VOID_TAGS or (m["attrs"] or "").endswith("/"):
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack:  # these end an open one of their kind
+        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and depth.get(name):  # these end an open one of their kind
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     while len(stack) > i:
@@ -159,6 +170,7 @@ def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, i
         if no:
             open_named.append((len(stack), m.start(), why))
         stack.append((name, no))
+        depth[name] = depth.get(name, 0) + 1
         refused += no
         links += name == "a"
         article += name in ("article", "main")
@@ -186,9 +198,10 @@ def in_known_language(found: list[tuple[str, int, bool]]) -> bool:
 def first_pass(text: str, linked: int, in_article: bool, known: bool = True) -> str:
     """bad, good, near or short; by length and links alone if the language isn't ``known``."""
     if linked > LINKED * len(text):
-        return "bad"
-    if not known:
-        size = len(text) + 2 * len(_WIDE.findall(text))
+        return "short" if in_article else "bad"
+    wide = len(_WIDE.findall(text))
+    if not known or 3 * wide > len(text):
+        size = len(text) + 2 * wide
         return "short" if size < SHORT else "good" if size > LONG else "near"
     if len(text) < SHORT:
         return "short"
@@ -206,14 +219,21 @@ def main_text(page: str) -> str:
 
 
 def _chosen(found: list[tuple[str, int, bool]]) -> str:
-    if any(in_article for _, _, in_article in found):
-        found = [b for b in found if b[2]]
+    """The text of the region to read: what is in articles or, if they are teasers beside it, the rest."""
     known = in_known_language(found)
-    labels = [first_pass(*b, known) for b in found]
+    inside, outside = ([b for b in found if b[2] is side] for side in (True, False))
+    if not inside:
+        return " ".join(_kept(outside, known))
+    article, rest = _kept(inside, known), _kept(outside, known)
+    return " ".join(rest if sum(map(len, rest)) > TEASER * sum(map(len, article)) else article)
+
+
+def _kept(region: list[tuple[str, int, bool]], known: bool) -> list[str]:
+    """The second pass: the good blocks of a region."""
+    labels = [first_pass(*b, known) for b in region]
     decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
-    keep = []
-    at = 0
-    for i, (text, _, in_article) in enumerate(found):
+    keep, at = [], 0
+    for i, (text, _, in_article) in enumerate(region):
         while at < len(decided) and decided[at] < i:
             at += 1
         label = labels[i]
@@ -221,10 +241,11 @@ def _chosen(found: list[tuple[str, int, bool]]) -> str:
             before = labels[decided[at - 1]] if at else None
             after = labels[decided[at]] if at < len(decided) else None
             sides = {before, after} - {None}
-            label = "good" if "good" in sides or (in_article and not sides) else "near-good" if label == "near" and not sides else "bad"
-        if label in ("good", "near-good"):
+            alone = not sides and (in_article or label == "near")
+            label = "good" if "good" in sides or alone else "bad"
+        if label == "good":
             keep.append(text)
-    return " ".join(keep)
+    return keep
 
 
 def _extracted(batches):
