@@ -106,6 +106,16 @@ def parallelism(spark: SparkSession) -> int:
     return max(8, 2 * spark.sparkContext.defaultParallelism)
 
 
+SMALL_TABLE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of files of SMALL_TABLE bytes at most dealt to all cores, as it may be one row group, which only one task can read. Larger ones
+    have row groups enough, and aren't moved."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
+
+
 def held_out(column="doc_id"):
     """``crc32(doc_id as text) mod 4 is 2``: the rows that no model may learn from. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(True))
