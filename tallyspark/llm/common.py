@@ -121,6 +121,16 @@ def held_out(column="doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def spelled(column="doc_id"):
+    """A whole-number column as text, which pandas keeps as it is: numbers beside nulls would become doubles."""
+    return F.col(column).cast("long").cast("string").alias(column)
+
+
+def numbers(texts) -> list:
+    """The whole numbers, or None, of ``spelled`` texts."""
+    return [int(x) if isinstance(x, str) else None for x in texts]
+
+
 M_MMAP_THRESHOLD = -3  # its number in the C library's malloc.h
 
 

@@ -23,9 +23,8 @@ import html
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches, tidied
+from .common import small_batches, spelled, tidied
 
 # Names of HTML, and the commonest function words of four languages.
 BLOCK_TAGS = set(
@@ -251,13 +250,15 @@ def _kept(region: list[tuple[str, int, bool]], known: bool) -> list[str]:
 def _extracted(batches):
     import pandas as pd
 
+    from .common import numbers
+
     for frame in batches:
         texts = [main_text(h or "") for h in frame["html"].tolist()]
-        yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        yield pd.DataFrame({"page_id": pd.array(numbers(frame["page_id"]), "Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (empty if none), n_chars of every page."""
     small_batches(pages.sparkSession)
-    given = pages.select(F.col("page_id").cast("long"), "url", "html")
+    given = pages.select(spelled("page_id"), "url", "html")
     return given.mapInPandas(tidied(_extracted), "page_id long, url string, text string, n_chars long")

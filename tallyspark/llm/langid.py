@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, held_out, small_batches, tidied
+from .common import first_by_hash, held_out, small_batches, spelled, tidied
 
 SAMPLE, LONGEST, SHARP, SMOOTH = 1500, 5, 30, 0.1
 
@@ -158,13 +158,13 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches):
         import pandas as pd
 
-        from .common import slices
+        from .common import numbers, slices
 
         for frame in batches:
             texts = frame["text"].tolist()
             got = [x for a, b in slices([t if isinstance(t, str) else "" for t in texts], 500_000) for x in predict(texts[a:b], model.value)]
-            out = frame[["doc_id", "held_out"]].copy()
-            yield out.assign(lang_pred=pd.Series([g[0] for g in got], out.index, dtype=object), score=pd.Series([g[1] for g in got], out.index, dtype=float))
+            columns = {"doc_id": pd.array(numbers(frame["doc_id"]), "Int64"), "held_out": frame["held_out"].tolist()}
+            yield pd.DataFrame(columns | {"lang_pred": pd.array([g[0] for g in got], object), "score": pd.array([g[1] for g in got], float)})
 
-    given = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
+    given = docs.select(spelled(), held_out().alias("held_out"), "text")
     return given.mapInPandas(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -218,19 +218,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, block: int = BLO
     def cut(batches):
         import re
 
-        import pandas as pd
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        word = re.compile(r"[^\x20\x09-\x0D]+")
-        for frame in batches:
-            for at in range(0, len(frame), 256):
+        word, out_schema = re.compile(r"[^\x20\x09-\x0D]+"), to_arrow_schema(schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
                 out = []
-                for r in frame.iloc[at : at + 256].to_dict("records"):
+                for r in batch.slice(at, 256).to_pylist():
                     stretches, spans = r["__stretches"], None
-                    for time in range(1, max(int(s["times"]) for s in stretches) + 1):
+                    for time in range(1, max(s["times"] for s in stretches) + 1):
                         runs = []
                         for s in stretches:
                             if s["times"] >= time:
-                                a, b = int(s["from_word"]), int(s["from_word"] + s["words"])
+                                a, b = s["from_word"], s["from_word"] + s["words"]
                                 if runs and runs[-1][1] == a:
                                     runs[-1][1] = b
                                 else:
@@ -244,6 +245,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, block: int = BLO
                         if "n_chars" in row:
                             row["n_chars"] = len(text)
                         out.append(row)
-                yield pd.DataFrame(out, columns=columns)
+                yield pa.RecordBatch.from_pylist(out, out_schema)
 
-    return joined.select(*columns, "__size", "__stretches").mapInPandas(tidied(cut), schema)
+    return joined.select(*columns, "__size", "__stretches").mapInArrow(tidied(cut), schema)

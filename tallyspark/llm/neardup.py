@@ -27,10 +27,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attached, discard, materialize, parallelism, session_conf, small_batches, small_or_plain, tidied
+from .common import attached, discard, materialize, parallelism, session_conf, small_batches, small_or_plain, spelled, tidied
 
 WIDTH, THRESHOLD, BANDS, ROWS, BITS = 4, 80, 40, 7, 1024
-CHUNK, NODE_SIZE = 40_000, 20  # a chunk's shingles, each text counting as so many more
+HOT, CHUNK, NODE_SIZE = 10_000, 40_000, 20  # CHUNK: a chunk's shingles, each text counting as so many more
 
 
 # ---------------------------------------------------------------- signatures
@@ -73,11 +73,11 @@ def _signed(width: int):
 
         import pandas as pd
 
-        from .common import slices
+        from .common import numbers, slices
         from .hashing import Words, shingles
 
         for frame in batches:
-            ids, texts = frame["doc_id"].tolist(), frame["text"].tolist()
+            ids, texts = numbers(frame["doc_id"]), frame["text"].tolist()
             for a, b in slices(texts):
                 words = Words(texts[a:b])
                 sets = shingles(words.hashes(), words.doc, words.n_docs, width)
@@ -265,28 +265,42 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(
-        texts.mapInPandas(tidied(_signed(width)), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "neardup-signed"
+        texts.select(spelled(), "text").mapInPandas(tidied(_signed(width)), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "neardup-signed"
     )
     usable = signed.filter("digest is not null and doc_id is not null")
     # all texts with one set: the smallest id stands for them
-    reps = usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    reps = usable.groupBy("digest").agg(
+        F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")
+    )
     reps = materialize(reps, "neardup-classes")
-    links = _links(reps, texts, width, threshold)
-    same = usable.join(reps.select("digest", F.col("node").alias("class_id")), "digest").select("doc_id", "class_id")
-    same = materialize(same, "neardup-same")
-    twice = same.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    repeated = same.groupBy("doc_id").agg(F.countDistinct("class_id").alias("n")).filter("n > 1").select("doc_id")
+    links, found = _links(reps, texts, width, threshold)
+    rows, classes = signed.select("doc_id", "n_shingles", "digest"), reps.select("digest", F.col("node").alias("class_id"), "n")
+    repeated = usable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
     if repeated.limit(1).count():  # ids with several texts tie their classes together
-        whole = components(links.select("a", "b").union(twice))
-        named = signed.select("doc_id", "n_shingles", "digest").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class_id", F.col("doc_id"))
+        same = _classed(usable.select("doc_id", "digest"), classes.select("digest", "class_id", "n"))
+        twice = same.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
+        whole = components(links.union(twice))
+        named = rows.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class_id", F.col("doc_id"))
     else:
-        found = components(links.select("a", "b")).withColumnRenamed("node", "class_id")
-        named = signed.select("doc_id", "n_shingles", "digest").join(reps.select("digest", F.col("node").alias("class_id")), "digest", "left").join(found, "class_id", "left")
+        named = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", "class_id", "component", "n")
+        named = _classed(rows, named)
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "class_id", "doc_id"))
     named = named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
 
 
+def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with what ``classes`` (a row a digest, of n texts) has of their digest. Classes of more than HOT texts, of which there are
+    at most rows / HOT, are broadcast, so that none is a task of its own."""
+    classes = materialize(classes, "neardup-named")
+    hot = materialize(classes.filter(F.col("n") > HOT).drop("n"), "neardup-hot")
+    classes = classes.drop("n")
+    if not hot.limit(1).count():
+        return rows.join(classes, "digest", "left")
+    big = rows.join(F.broadcast(hot), "digest")
+    return big.unionByName(rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(classes, "digest", "left"))
+
+
 def _members(reps: DataFrame) -> DataFrame:
     """key, node, leader, for band buckets of two members or more; of buckets with the same members, one."""
     banded = reps.select("node", F.explode("bands").alias("key"))
@@ -301,8 +315,8 @@ def _members(reps: DataFrame) -> DataFrame:
     return members
 
 
-def _links(reps: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Confirmed links a, b between classes: enough of them for the components of all links of all buckets."""
+def _links(reps: DataFrame, docs: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links a, b between classes, enough of them for the components of all links of all buckets, and these components."""
     members = _members(reps)
     pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     one, two = (reps.select(F.col("node").alias(c), F.col("sketch").alias(s)) for c, s in (("a", "k1"), ("b", "k2")))
@@ -310,8 +324,10 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, threshold: int) -> Data
     near = materialize(pairs.join(one, "a").join(two, "b").filter(differing <= most_differing(threshold)).select("a", "b"), "neardup-near")
     led = _confirm(near, docs, width, threshold)
     discard(near)
-    across = _across(members, reps, components(led, "neardup-first"), docs, width, threshold)
-    return led.union(across)
+    first = components(led, "neardup-first")
+    across = _across(members, reps, first, docs, width, threshold)
+    links = led.union(across)
+    return links, components(links) if across.limit(1).count() else first
 
 
 def _across(members: DataFrame, reps: DataFrame, first: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:

@@ -23,7 +23,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, small_batches, tidied
+from .common import materialize, parallelism, small_batches, spelled, tidied
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MERGE = 2048, 2048, 3, 2, 6, 4, 8
 CACHED_WORDS = 400_000
@@ -102,13 +102,13 @@ def _tokenised(path: str, capacity: int, with_ids: bool, cached_words: int):
         import numpy as np
         import pandas as pd
 
-        from .common import slices
+        from .common import numbers, slices
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = WordCache(path, cached_words)
         gc.freeze()  # the cache holds strings and bytes only: nothing in it to look through again and again
         for frame in batches:
-            ids, texts = frame["doc_id"].tolist(), [t or "" for t in frame["text"].tolist()]
+            ids, texts = numbers(frame["doc_id"]), [t or "" for t in frame["text"].tolist()]
             for a, b in slices(texts, 500_000):
                 rows = []
                 for doc, data in zip(ids[a:b], cache.encode(texts[a:b]), strict=True):
@@ -120,7 +120,7 @@ def _tokenised(path: str, capacity: int, with_ids: bool, cached_words: int):
                         rows.append((*row, np.frombuffer(part, "<u4").astype("i4")) if with_ids else row)
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
                 out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
+                out["doc_id"] = pd.array([r[0] for r in rows], "Int64")
                 yield out
 
     return run
@@ -130,7 +130,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | No
     """Pieces of every document: ids by the tokenizer, then 0; cut after each ``capacity`` tokens."""
     small_batches(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+    return docs.select(spelled(), "text").mapInPandas(
         tidied(_tokenised(tokenizer_path or default_tokenizer(), capacity, with_ids, cached_words)), schema
     )
 

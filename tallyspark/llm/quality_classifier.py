@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, held_out, small_batches, tidied
+from .common import first_by_hash, held_out, small_batches, spelled, tidied
 
 BUCKETS, DIM, GRAMS, TRAIN, EPOCHS, RATE, BOOST, CUTOFF, SURE, SEED = 1 << 17, 8, (3, 4), 1200, 20, 0.2, 4, 0.7, 0.02, 17
 AGAIN, FRESH = 0, 1  # rows of the pseudo-words
@@ -119,19 +119,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN):
     return train([r["text"] or "" for r in rows], [r["label"] for r in rows])
 
 
-def _scored(model, columns):
+def _scored(model):
     def run(batches):
         import numpy as np
+        import pandas as pd
 
-        from .common import slices
+        from .common import numbers, slices
 
         folded, bias = model.value
         for frame in batches:
             texts = [t if isinstance(t, str) else "" for t in frame["text"].tolist()]
             parts = [score_texts(texts[a:b], folded, bias) for a, b in slices(texts, 250_000)]
-            out = frame[columns].copy()
-            out["score"] = np.concatenate(parts) if parts else np.zeros(0)
-            yield out
+            score = np.concatenate(parts) if parts else np.zeros(0)
+            yield pd.DataFrame({"doc_id": pd.array(numbers(frame["doc_id"]), "Int64"), "held_out": frame["held_out"].tolist(), "score": score})
 
     return run
 
@@ -141,8 +141,8 @@ def classify(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN) -> Data
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels, per_label))
-    given = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    out = given.mapInPandas(tidied(_scored(model, ["doc_id", "held_out"])), "doc_id long, held_out boolean, score double")
+    given = docs.select(spelled(), held_out().alias("held_out"), "text")
+    out = given.mapInPandas(tidied(_scored(model)), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))
 
 
@@ -153,13 +153,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN) -> Dat
 
     def kept(batches):
         import numpy as np
+        import pyarrow as pa
 
         from .common import slices
 
         folded, bias = model.value
-        for frame in batches:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"].tolist()]
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             parts = [score_texts(texts[a:b], folded, bias) for a, b in slices(texts, 250_000)]
-            yield frame[(np.concatenate(parts) if parts else np.zeros(0)) >= CUTOFF]
+            yield batch.filter(pa.array((np.concatenate(parts) if parts else np.zeros(0)) >= CUTOFF))
 
-    return docs.mapInPandas(tidied(kept), docs.schema)
+    return docs.mapInArrow(tidied(kept), docs.schema)

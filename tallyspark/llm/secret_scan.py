@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidied
+from .common import small_batches, spelled, tidied
 
 RULES = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
@@ -375,10 +375,10 @@ def _scanned(kinds: tuple[str, ...], shared):
     def run(batches):
         import pandas as pd
 
-        from .common import slices
+        from .common import numbers, slices
 
         for frame in batches:
-            ids, texts = frame["doc_id"].tolist(), [t or "" for t in frame["text"].tolist()]
+            ids, texts = numbers(frame["doc_id"]), [t or "" for t in frame["text"].tolist()]
             for a, b in slices(texts, 1_000_000):
                 found = [[] for _ in range(a, b)]
                 spans = shared.value.spans([t.encode("utf-8", "surrogatepass") for t in texts[a:b]])
@@ -392,7 +392,7 @@ def _scanned(kinds: tuple[str, ...], shared):
 def find_secrets(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """doc_id, spans: array of (kind, start, end), by start and then kind, for every row."""
     small_batches(docs.sparkSession)
-    given = docs.select(F.col("doc_id").cast("long"), "text")
+    given = docs.select(spelled(), "text")
     shared = docs.sparkSession.sparkContext.broadcast(scanner(kinds))  # some megabytes, whatever the corpus
     return given.mapInPandas(tidied(_scanned(kinds, shared)), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
