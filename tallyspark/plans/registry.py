@@ -47,6 +47,9 @@ MATRIX = """matrix AS (
 )"""
 
 
+RANGE = 65536  # keys summed up as one in running counts
+
+
 def query(sql: str | None = None):
     """Register a function (spark, sf_dir) under its name, with its SQL."""
 
@@ -85,8 +88,8 @@ def last_write_wins_lineitem(spark, sf):
 
 @query(f"WITH {ATTEMPTS} SELECT seq, model, CAST(sum(CASE WHEN category = 'Passed' THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY seq) AS BIGINT) AS passed_so_far FROM attempts")
 def running_passed(spark, sf):
-    so_far = F.sum((F.col("category") == "Passed").cast("int")).over(Window.partitionBy("model").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return S.attempts(spark, sf).select("seq", "model", so_far.alias("passed_so_far"))
+    rows = S.attempts(spark, sf).select("seq", "model", "category")
+    return R.running_counts(rows, "model", "seq", F.col("category") == "Passed", "passed_so_far", RANGE).drop("category")
 
 
 @query(
@@ -115,11 +118,7 @@ def stream_latest(spark, sf):
 
     from ..streaming import records as stream
 
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="stream-")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     top = f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows = S.attempts(spark, sf)
     rows.write.json(f"{top}/in")
@@ -145,7 +144,7 @@ def pass_rate_pivot(spark, sf):
 
 _SUMMARY = """summary AS (
     SELECT model, dim.architecture, count(*) AS total, count(*) FILTER (WHERE solved) AS passed, round(1e0 * count(*) FILTER (WHERE solved) / count(*), 6) AS pass_at_1,
-           round(avg(score), 6) AS mean_score, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens,
+           CASE WHEN count(score) > 0 THEN CAST((200 * CAST(sum(CAST(score AS DECIMAL(18, 4))) * 10000 AS HUGEINT) + count(score)) // (2 * count(score)) AS DOUBLE) / 1e6 END AS mean_score, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens,
            round(sum(coalesce(input_tokens, 0)) / 1e6 * coalesce(max(price_in), 0) + sum(coalesce(output_tokens, 0)) / 1e6 * coalesce(max(price_out), 0), 4) AS cost_usd
     FROM records LEFT JOIN dim USING (model) GROUP BY model, dim.architecture
 )"""
@@ -326,8 +325,8 @@ def union_splits_range(spark, sf):
 
 @query("SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS ordinal FROM customer")
 def fallback_ordinal(spark, sf):
-    number = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")) - 1
-    return S.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", number.alias("ordinal"))
+    rows = S.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return R.running_counts(rows, "c_mktsegment", "c_custkey", F.lit(True), "_n", RANGE).select("c_custkey", "c_mktsegment", (F.col("_n") - 1).cast("int").alias("ordinal"))
 
 
 @query(r"SELECT s_suppkey, try_cast(nullif(regexp_extract(s_name, '(\d+)$', 1), '') AS DOUBLE) AS trailing FROM supplier")
@@ -384,12 +383,23 @@ def first_lines(spark, sf):
 _EDGE_SQL = ", ".join(f"'{w}'" for w in X.EDGE_WORDS)
 
 
-@query(rf"SELECT conv_id, turn, array_to_string(list_filter([{_EDGE_SQL}], lambda w: regexp_matches(lower(concat('an Empty list, even or odd: ', role, ' case')), concat('\b', w, '\b'))), ', ') AS edges FROM conversations")
+@query(rf"SELECT conv_id, turn, array_to_string(list_filter([{_EDGE_SQL}], lambda w: regexp_matches(lower(concat('an Empty list, even or odd: ', role, ' case ', coalesce(text, ''))), concat('\b', w, '\b'))), ', ') AS edges FROM conversations")
 def edge_keywords(spark, sf):
-    text = F.concat(F.lit("an Empty list, even or odd: "), F.col("role"), F.lit(" case"))
+    """Edge-case words in whole turns, behind some words that hold a few."""
+    text = F.concat(F.lit("an Empty list, even or odd: "), F.col("role"), F.lit(" case "), F.coalesce("text", F.lit("")))
     return S.table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.edge_words(text), ", ").alias("edges"))
 
 
+@query(
+    """WITH split AS (SELECT doc_id, list_transform(string_split(concat(chr(10), '   ', chr(10), '    x ', chr(10), text, '  ', chr(10), ' ', chr(10)), chr(10)), lambda s: regexp_replace(s, '\\s+$', '')) AS l FROM documents)
+SELECT doc_id, array_to_string(l[list_position(list_transform(l, lambda s: s <> ''), true) : len(l) + 1 - list_position(list_transform(list_reverse(l), lambda s: s <> ''), true)], chr(10)) AS trimmed FROM split"""
+)
+def trim_blank_edges(spark, sf):
+    """Whole texts between blank lines, without them and without white space at line ends; the first line's indent stays."""
+    text = F.concat(F.lit("\n   \n    x \n"), F.col("text"), F.lit("  \n \n"))
+    return _docs(spark, sf).select("doc_id", X.trim_blank_edges(text).alias("trimmed"))
+
+
 @query("SELECT p_partkey, concat('f', p_size) AS called FROM part")
 def called_identifier(spark, sf):
     test = F.concat(F.lit("assert set(f"), F.col("p_size").cast("string"), F.lit("([1, 2])) == set(g(3))"))

@@ -16,6 +16,26 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(100e0 * F.try_divide(part, whole), digits)
 
 
+def exact_mean(total: str, n: str) -> Column:
+    """total / n, to 6 digits, of a whole number of ten-thousandths that isn't negative: in whole numbers, so that neither the order of
+    a sum nor a tie in rounding matters. Null where n is 0."""
+    return F.expr(f"CASE WHEN {n} > 0 THEN (200 * {total} + {n}) DIV (2 * {n}) / 1e6D END")
+
+
+def running_counts(rows: DataFrame, group: str, order: str, counted: Column, name: str, span: int) -> DataFrame:
+    """rows with ``name``: how many of the group's rows up to this one in ``order``, a whole number, satisfy ``counted``.
+
+    Sums over ranges of ``span`` values of ``order`` come first, then those within a range: no task holds a whole group's rows.
+    """
+    ranged = rows.withColumns({"_range": F.floor(F.col(order) / span), "_one": F.coalesce(counted, F.lit(False)).cast("long")})
+    sums = ranged.groupBy(group, "_range").agg(F.sum("_one").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("_one").over(Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = ranged.withColumn("_inside", inside).join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_one", "_inside", "_g", "_r", "_before")
+
+
 def solved_count() -> Column:
     return F.count_if("solved")
 
@@ -38,14 +58,15 @@ def model_summary(records: DataFrame, dimension: DataFrame) -> DataFrame:
     per = records.groupBy("model").agg(
         F.count("*").alias("total"),
         solved_count().alias("passed"),
-        F.round(F.avg("score"), 6).alias("mean_score"),
+        F.sum((F.col("score").cast("decimal(18,4)") * 10000).cast("long")).alias("score_sum"),
+        F.count("score").alias("scored"),
         tokens("input_tokens").alias("input_tokens"),
         tokens("output_tokens").alias("output_tokens"),
     )
     priced = per.join(dimension.select("model", "architecture", "price_in", "price_out"), "model", "left")
     cost = F.col("input_tokens") / 1e6 * F.coalesce("price_in", F.lit(0.0)) + F.col("output_tokens") / 1e6 * F.coalesce("price_out", F.lit(0.0))
     rate = F.round(F.col("passed") / F.col("total"), 6)
-    return priced.select("model", "architecture", "total", "passed", rate.alias("pass_at_1"), "mean_score", "input_tokens", "output_tokens", F.round(cost, 4).alias("cost_usd"))
+    return priced.select("model", "architecture", "total", "passed", rate.alias("pass_at_1"), exact_mean("score_sum", "scored").alias("mean_score"), "input_tokens", "output_tokens", F.round(cost, 4).alias("cost_usd"))
 
 
 def cost_totals(summary: DataFrame) -> DataFrame:
