@@ -1,6 +1,6 @@
 """Personal data in whole texts, with DataFrame functions only: base patterns, then bootstrapped contextual extraction.
 
-Base spans come from four patterns. They are the seeds. Every word with a digit or an @ is an instance; its patterns are the
+Base spans come from four patterns. They are the seeds. A base span, with all its words, is one instance, and every other word with a digit or an @; its patterns are the
 letters of the word before it (``L:``), of the two before it (``LL:``), of the word behind it (``R:``) and of the two behind
 it (``RR:``), whole words at whatever distance. The graph of patterns and instances is scored in ROUNDS rounds: a pattern's confidence for
 a kind is the share of its distinct instances' scores that this kind has (one more instance, of no kind, being counted), and an
@@ -92,13 +92,13 @@ def _passes(kind: str, match: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """All base spans of a text: array of (kind as a number, start, end), by kind and start."""
-    none = F.array().cast(f"array<{SPAN}>")
+    """All base spans of a text: array of (kind as a number, start, end, hash of the match), by kind and start."""
+    none = F.array().cast("array<struct<kind:int,start:long,end:long,h:long>>")
     may = {"email": F.contains(text, F.lit("@")), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]"), "phone": F.contains(text, F.lit("+"))}
 
     def of(i, kind):
         kept = F.filter(located(text, PATTERNS[kind]), lambda m: _passes(kind, m["match"]))
-        return F.when(may[kind], F.transform(kept, lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))).otherwise(none)
+        return F.when(may[kind], F.transform(kept, lambda m: F.struct(F.lit(i).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(m["match"]).alias("h")))).otherwise(none)
 
     return F.concat(*[of(i, kind) for i, kind in enumerate(KINDS)])
 
@@ -172,9 +172,11 @@ def _discovered(marked: DataFrame, hidden: Column | None = None) -> DataFrame:
     """
     touching = F.filter("base", lambda b: (b["start"] < F.col("i.end")) & (b["end"] > F.col("i.start")))
     seen = marked.filter(F.size("instances") > 0).select("doc_id", "text_key", "base", F.explode("instances").alias("i"))
-    seen = seen.select("doc_id", "text_key", "i.*", F.get(F.transform(touching, lambda b: b["kind"]), F.lit(0)).alias("kind"))
-    if hidden is not None:
-        seen = seen.withColumn("kind", F.when(~hidden, F.col("kind")))
+    seen = seen.select("doc_id", "text_key", "i.*", F.get(touching, F.lit(0)).alias("base"))
+    seed = F.col("base").isNotNull() if hidden is None else F.col("base").isNotNull() & ~hidden
+    seen = seen.withColumn("kind", F.when(seed, F.col("base.kind")))
+    # a seed is one instance with all its words
+    seen = seen.withColumn("instance", F.when(seed, F.concat(F.lit("#"), F.col("base.h").cast("string"))).otherwise(F.col("instance"))).drop("base")
     seen = materialize(seen.withColumn("pattern", F.explode("patterns")).drop("patterns"), "pii-instances")
     accepted = learned(materialize(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-graph"))
     hits = attached(seen.filter("kind is null").drop("kind"), accepted, "pattern").filter(_shaped(F.col("kind"), F.col("instance")))
@@ -188,6 +190,10 @@ def _marked(docs: DataFrame, *more) -> DataFrame:
     return given.select("doc_id", F.xxhash64("text").alias("text_key"), base_spans(F.col("text")).alias("base"), _instances(F.col("text")).alias("instances"))
 
 
+def _plain(base: str) -> Column:
+    return F.transform(base, lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))).alias(base)
+
+
 def _with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Joined by doc_id and text, not by a row number: rows that agree in both have the same spans."""
     found = small_or_plain(found)
@@ -198,7 +204,7 @@ def _with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id; base: array of (kind, start, end); spans: the same with what the patterns discovered, by kind and start."""
     marked = materialize(_marked(docs), "pii-marked")
-    rows = _with_found(marked.select("doc_id", "text_key", "base"), _discovered(marked))
+    rows = _with_found(marked.select("doc_id", "text_key", _plain("base")), _discovered(marked))
     return rows.select("doc_id", "base", F.array_sort(F.array_union("base", "found")).alias("spans"))
 
 
@@ -211,7 +217,7 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """The rows with every span of their texts replaced by ``<kind>``; null texts stay null. All columns are kept."""
     marked = materialize(_marked(docs), "pii-marked")
-    spans = _with_found(marked.select("doc_id", "text_key", "base"), _discovered(marked))
+    spans = _with_found(marked.select("doc_id", "text_key", _plain("base")), _discovered(marked))
     order = F.transform(F.array_union("base", "found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.array_sort(order).alias("spans")).filter(F.size("spans") > 0)
     spans = materialize(spans.dropDuplicates(["_doc", "_key"]), "pii-spans")  # rows that agree in both have the same spans
