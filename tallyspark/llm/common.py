@@ -110,10 +110,10 @@ SMALL_TABLE = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of files of SMALL_TABLE bytes at most dealt to all cores, as it may be one row group, which only one task can read. Larger ones
-    have row groups enough, and aren't moved."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
+    """A table of SMALL_TABLE bytes at most, in fewer files than there are cores, dealt to all cores, as each file may be one row group, which
+    only one task can read. Other tables aren't moved."""
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= SMALL_TABLE and len(df.inputFiles()) < cores else df
 
 
 def held_out(column="doc_id"):
