@@ -326,7 +326,7 @@ def union_splits_range(spark, sf):
 @query("SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS ordinal FROM customer")
 def fallback_ordinal(spark, sf):
     rows = S.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    return R.running_counts(rows, "c_mktsegment", "c_custkey", F.lit(True), "_n", RANGE).select("c_custkey", "c_mktsegment", (F.col("_n") - 1).cast("int").alias("ordinal"))
+    return R.running_counts(rows, "c_mktsegment", "c_custkey", F.lit(True), "_n", RANGE).select("c_custkey", "c_mktsegment", (F.col("_n") - 1).alias("ordinal"))
 
 
 @query(r"SELECT s_suppkey, try_cast(nullif(regexp_extract(s_name, '(\d+)$', 1), '') AS DOUBLE) AS trailing FROM supplier")
