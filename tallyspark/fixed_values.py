@@ -71,6 +71,7 @@ MODELS = (
 )
 PRICES = {"claude-opus-4-7": (5.0, 25.0), "deepseek-v4-pro": (0.435, 0.87), "ministral-8b-latest": (0.15, 0.15)}
 PROVIDER_KEYS = {"anthropic": "ANTHROPIC_API_KEY", "deepseek": "DEEPSEEK_API_KEY", "mistral": "MISTRAL_API_KEY"}
+SOLVED_LABELS = {True: "risolto", False: "non risolto"}
 ARCHITECTURES = {"LLM": "LLM (dense)", "SLM": "SLM (small)", "MoE": "MoE (mixture of experts)", "VLM": "VLM (vision)"}
 
 # ---- fixed values: columns of the detail tables
@@ -87,6 +88,16 @@ DETAIL = {
 #: the column that shows which benchmark a foreign row is from, in order of precedence
 MARKERS = {"stop_tokens": "multipl-e", "instruction": "plot2code", "code_context": "ds1000", "test_list": "mbpp"}
 
+# ---- fixed values: pictures of a notebook (what a cell holds, all of it; the file's name), tried in this order
+CHARTS = (
+    (("p_pass",), "01_pass1_per_benchmark_e_modello"),
+    (("scatter_for_model(",), "02_scatter_codebleu_{model}"),
+    (("AnnotationBbox", "MODEL_COLORS"), "03_multipl-e_risolti_per_linguaggio_e_modello"),
+    (("p_cross",), "04_cross_modello_recuperi"),
+    (("p_p2c",), "05_plot2code_imgvisual_vs_codebleu"),
+)
+CHART_MODEL = r'scatter_for_model\("([^"]+)"\)'
+
 # ---- fixed values: weights
 IMAGE_WEIGHTS = {"text_match": 0.4, "ssim": 0.4, "color_sim": 0.2}
 STDERR_TAIL = 2000

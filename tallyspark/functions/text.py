@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed_values import EDGE_WORDS, WRAPPERS
+from ..fixed_values import ARCHITECTURES, CHART_MODEL, CHARTS, EDGE_WORDS, SOLVED_LABELS, WRAPPERS
 
 # ---- fixed values: patterns
 FENCE = r"(?s)```[^\n`]*\n(.*?)```"
@@ -173,11 +175,26 @@ def package_base(x) -> Column:
 def chart_name(source) -> Column:
     """File name of the chart that a notebook cell makes; null for other cells."""
     s = c(source)
-    shown = or_null(F.regexp_extract(s, r'scatter_for_model\("([^"]+)"\)', 1))
-    return (
-        F.when(s.contains("p_pass"), "01_pass1_per_benchmark_e_modello")
-        .when(s.contains("scatter_for_model("), F.concat(F.lit("02_scatter_codebleu_"), shown))
-        .when(s.contains("AnnotationBbox") & s.contains("MODEL_COLORS"), "03_multipl-e_risolti_per_linguaggio_e_modello")
-        .when(s.contains("p_cross"), "04_cross_modello_recuperi")
-        .when(s.contains("p_p2c"), "05_plot2code_imgvisual_vs_codebleu")
-    )
+    model = or_null(F.regexp_extract(s, CHART_MODEL, 1))
+    held = [(reduce(lambda a, b: a & b, map(s.contains, marks)), F.replace(F.lit(name), F.lit("{model}"), model) if "{model}" in name else F.lit(name)) for marks, name in CHARTS]
+    return reduce(lambda rest, case: F.when(*case).otherwise(rest), reversed(held), F.lit(None).cast("string"))
+
+
+def short_name(x) -> Column:
+    """A model's label: what stands before its first hyphen."""
+    return F.substring_index(c(x), "-", 1)
+
+
+def architecture_label(x) -> Column:
+    """What stands before the brackets of a known architecture's name; another passes through."""
+    names = F.create_map(*[F.lit(v) for kv in ARCHITECTURES.items() for v in kv])
+    return F.substring_index(F.coalesce(F.try_element_at(names, c(x)), c(x)), " (", 1)
+
+
+def solved_label(x) -> Column:
+    return F.when(c(x), SOLVED_LABELS[True]).when(~c(x), SOLVED_LABELS[False])
+
+
+def distinct_in_order(values) -> Column:
+    """Each value once, where it first stands."""
+    return F.array_distinct(c(values))

@@ -12,6 +12,20 @@ from ..functions.images import image_similarity
 from ..functions.text import joined, or_null
 from ..schemas import RECORD
 
+#: metric: (reference, candidate) -> its column. Add a measure by adding an entry, and its name to the record's metrics by metrics_type
+METRICS = {"codebleu": codebleu}
+
+
+def metrics_type() -> str:
+    return f"struct<{','.join(f'{name}:double' for name in METRICS)}>"
+
+
+def metrics(benchmark: str) -> Column:
+    """All measures of a candidate against its gold code; null for a set that has none."""
+    none = F.lit(None).cast("double")
+    return F.struct(*[(none if benchmark == "multipl-e" else of(reference_code(benchmark), F.col("code"))).alias(name) for name, of in METRICS.items()])
+
+
 #: record column: problem column, where they differ
 _OWN = {
     "humaneval": {"entry_point": "entry_point", "prompt": "prompt", "canonical_solution": "canonical_solution", "test": "test"},
@@ -35,12 +49,11 @@ def reference_code(benchmark: str) -> Column:
 
 def assemble(runs: DataFrame, benchmark: str) -> DataFrame:
     """Records of one benchmark: runs are problems with model, model_id, architecture, code, category, usage and stderr."""
-    score = F.lit(None).cast("double") if benchmark == "multipl-e" else codebleu(reference_code(benchmark), F.col("code"))
     made = {
         "task_id": F.col("task_id").cast("string"),
         "benchmark": F.lit(benchmark),
         "passed": F.col("category") == "Passed",
-        "metrics": F.struct(score.alias("codebleu")),
+        "metrics": metrics(benchmark),
         **{name: F.col(source) for name, source in _OWN[benchmark].items()},
     }
     if benchmark == "humaneval":
@@ -50,7 +63,7 @@ def assemble(runs: DataFrame, benchmark: str) -> DataFrame:
         if "ref_content" in runs.columns:
             made["image_similarity"] = F.when(F.col("ref_content").isNotNull() & F.col("render_content").isNotNull(), image_similarity("ref_content", "render_content"))
     given = {"model", "model_id", "architecture", "code", "category", "usage", "stderr"} & set(runs.columns)
-    columns = [(made[f.name] if f.name in made else F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(RECORD).fields]
+    columns = [(made[f.name] if f.name in made else F.col(f.name) if f.name in given else F.lit(None)).cast(metrics_type() if f.name == "metrics" else f.dataType).alias(f.name) for f in StructType.fromDDL(RECORD).fields]
     return runs.select(*columns)
 
 

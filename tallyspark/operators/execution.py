@@ -9,9 +9,9 @@ and speculation must be off.
 from __future__ import annotations
 
 import contextlib
+import glob
 import os
 import re
-import shutil
 import signal
 import subprocess
 import sys
@@ -25,6 +25,7 @@ from ..fixed_values import BRACE_LANGUAGES, INTERPRETERS, STDERR_TAIL
 from ..functions.code import balance_braces, python_literal, reindent
 from ..functions.outcome import category
 from ..functions.text import import_header, insert_indent, rstrip, strip, strip_echo, tail
+from ..sources.capabilities import newest, tool as which
 
 RAW = "rc int, timed_out boolean, out string, err string, artifact_bytes long, missing boolean, compile_failed boolean"
 FIGURE = "figure.png"
@@ -74,50 +75,64 @@ def guarded(command: list[str], timeout: float, folder: str, env=None, limited:
             run.communicate(timeout=5)
 
 
-def _steps(language: str, text: str, folder: str) -> tuple[list[tuple[list[str], bool]], dict] | None:
+def surroundings(language: str, program: str, home: str | None = None) -> dict[str, str]:
+    """Environment that an interpreter needs beside the usual: Lua finds the modules of the user's rocks tree, a shell the tools
+    that lie in its own folder."""
+    if language == "lua":
+        shared = newest([os.path.join(home or os.path.expanduser("~"), ".luarocks", "share", "lua", "*")])
+        if shared is None:
+            return {}
+        compiled = os.path.join(shared.rsplit(f"{os.sep}share{os.sep}", 1)[0], "lib", "lua", os.path.basename(shared))
+        return {"LUA_PATH": f"{shared}/?.lua;{shared}/?/init.lua;;", "LUA_CPATH": f"{compiled}/?.so;;"}
+    if language == "sh":
+        return {"PATH": os.pathsep.join([os.path.dirname(program), os.environ.get("PATH", "")])}
+    return {}
+
+
+def _steps(language: str, text: str, folder: str, jars: str | None = None) -> tuple[list[tuple[list[str], bool]], dict] | None:
     """Commands (with whether it is a compilation) and more environment; writes the files. Null without the tools."""
     put = lambda name, body: open(os.path.join(folder, name), "w", encoding="utf-8").write(body)  # noqa: E731, SIM115
-    which = shutil.which
     if language in INTERPRETERS:
-        ending, tool, before = INTERPRETERS[language]
-        if not which(tool):
+        ending, name, before = INTERPRETERS[language]
+        if not (program := which(name)):
             return None
         put(f"program{ending}", text)
-        return [([tool, *before, f"program{ending}"], False)], {}
+        return [([program, *before, f"program{ending}"], False)], surroundings(language, program)
     if language == "java" and which("javac") and which("java"):
         put("Problem.java", text)
-        return [(["javac", "Problem.java"], True), (["java", "-ea", "-cp", ".", "Problem"], False)], {}
-    if language == "cpp" and (tool := next(filter(which, ("g++", "clang++", "c++")), None)):
+        path = os.pathsep.join([".", *sorted(glob.glob(os.path.join(jars, "*.jar")))]) if jars else "."
+        return [([which("javac"), "-cp", path, "Problem.java"], True), ([which("java"), "-ea", "-cp", path, "Problem"], False)], {}
+    if language == "cpp" and (compiler := next(filter(None, map(which, ("g++", "clang++", "c++"))), None)):
         put("program.cpp", text)
-        return [([tool, "-std=c++17", "program.cpp", "-o", "program"], True), (["./program"], False)], {}
+        return [([compiler, "-std=c++17", "program.cpp", "-o", "program"], True), (["./program"], False)], {}
     if language == "rs" and which("rustc"):
         put("program.rs", text)
-        return [(["rustc", "-A", "warnings", "program.rs", "-o", "program"], True), (["./program"], False)], {}
+        return [([which("rustc"), "-A", "warnings", "program.rs", "-o", "program"], True), (["./program"], False)], {}
     if language == "dart" and which("dart"):
         put("program.dart", text)
-        return [(["dart", "run", "program.dart"], False)], {}
+        return [([which("dart"), "run", "program.dart"], False)], {}
     if language == "go" and which("go"):
         name = re.search(r"(?m)^package\s+(\w+)", text)
         put("go.mod", "module program\n\ngo 1.21\n")
         put("stub.go", f"package {(name[1] if name else 'main').removesuffix('_test')}\n")
         put("program_test.go", text)
-        return [(["go", "test"], False)], {"GOTOOLCHAIN": "local", "GOFLAGS": "-mod=mod"}
+        return [([which("go"), "test"], False)], {"GOTOOLCHAIN": "local", "GOFLAGS": "-mod=mod"}
     if language == "cs" and which("dotnet"):
         put("program.csproj", '<Project Sdk="Microsoft.NET.Sdk"><PropertyGroup><OutputType>Exe</OutputType><TargetFramework>net8.0</TargetFramework></PropertyGroup></Project>')
         put("Program.cs", text)
-        return [(["dotnet", "run", "-c", "Debug"], False)], {}
+        return [([which("dotnet"), "run", "-c", "Debug"], False)], {}
     return None
 
 
-def run_program(language: str, text: str, timeout: float) -> tuple:
-    """The RAW columns of one program. Time limits hold for compilation and run apart."""
+def run_program(language: str, text: str, timeout: float, jars: str | None = None) -> tuple:
+    """The RAW columns of one program. Time limits hold for compilation and run apart. jars: a folder, on Java's class path."""
     with tempfile.TemporaryDirectory(prefix="candidate-", ignore_cleanup_errors=True) as folder:
         if language == "python":
             with open(os.path.join(folder, "program.py"), "w", encoding="utf-8", errors="replace") as f:
                 f.write(text)
             steps, more = [([sys.executable, "program.py"], False)], {}
         else:
-            found = _steps(language, text, folder)
+            found = _steps(language, text, folder, jars)
             if found is None:
                 return None, False, "", "", 0, True, False
             steps, more = found
@@ -133,7 +148,7 @@ def run_program(language: str, text: str, timeout: float) -> tuple:
         return rc, False, out, err, os.path.getsize(figure) if os.path.exists(figure) else 0, False, False
 
 
-def execute(problems: DataFrame, benchmark: str, timeout: float, allow: bool = False, partitions: int | None = None) -> DataFrame:
+def execute(problems: DataFrame, benchmark: str, timeout: float, allow: bool = False, partitions: int | None = None, jars: str | None = None) -> DataFrame:
     """The rows with the RAW columns of their candidate's run. problems: rows of one benchmark with ``code``."""
     if not allow:
         raise PermissionError("running candidates runs untrusted code: pass allow=True")
@@ -145,7 +160,7 @@ def execute(problems: DataFrame, benchmark: str, timeout: float, allow: bool = F
     def run(batches):
         for frame in batches:
             blank = [not (c or "").strip() for c in frame["code"]]
-            rows = [(None, False, "", "", 0, False, False) if b else run_program(x, p, timeout) for x, p, b in zip(frame["_language"], frame["_program"], blank, strict=True)]
+            rows = [(None, False, "", "", 0, False, False) if b else run_program(x, p, timeout, jars) for x, p, b in zip(frame["_language"], frame["_program"], blank, strict=True)]
             raw = pd.DataFrame(rows, index=frame.index, columns=[x.split()[0] for x in RAW.split(", ")])
             raw["rc"] = raw["rc"].astype("Int32")
             yield pd.concat([frame.drop(columns=["_language", "_program"]), raw], axis=1)

@@ -2,17 +2,64 @@
 
 from __future__ import annotations
 
+import contextlib
+import csv
+import io
 import json
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import xml_safe
 
 MOST_ROWS = 1_000_000  # a sheet holds no more
 
 
+class _Stream(io.RawIOBase):
+    """Bytes into an output stream of the JVM."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def writable(self):
+        return True
+
+    def write(self, data):
+        self.stream.write(bytearray(data))
+        return len(data)
+
+
+@contextlib.contextmanager
+def one_file(spark: SparkSession, path: str):
+    """A text file at a path of any file system that Spark knows, written by the driver; it replaces what is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        with io.TextIOWrapper(io.BufferedWriter(_Stream(stream), 1 << 20), "utf-8", newline="") as f:
+            yield f
+    finally:
+        stream.close()
+
+
+def write_pretty_json(records: DataFrame, path: str) -> None:
+    """All records as one indented JSON array, a partition at a time on the driver."""
+    with one_file(records.sparkSession, path) as f:
+        start = "[\n"
+        for r in records.toLocalIterator():
+            f.write(start + json.dumps(r.asDict(recursive=True), ensure_ascii=False, indent=2, default=str))
+            start = ",\n"
+        f.write("[]\n" if start == "[\n" else "\n]\n")
+
+
+def write_one_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with a header and no index, rows in the frame's order; nulls are empty."""
+    with one_file(df.sparkSession, path) as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(df.columns)
+        out.writerows(df.toLocalIterator())
+
+
 def write_records_json(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 

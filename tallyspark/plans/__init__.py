@@ -1,0 +1 @@
+from . import ingest, registry  # noqa: F401  both register queries

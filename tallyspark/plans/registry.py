@@ -62,6 +62,12 @@ def query(sql: str | None = None):
     return add
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the checkpoint folder, or else the warehouse."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
+
+
 # ---------------------------------------------------------------- record store
 
 
@@ -118,8 +124,7 @@ def stream_latest(spark, sf):
 
     from ..streaming import records as stream
 
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    top = f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = S.attempts(spark, sf)
     rows.write.json(f"{top}/in")
     stream.start_store(stream.attempts(spark, f"{top}/in", rows.schema), S.KEYS, f"{top}/store", f"{top}/state").awaitTermination()

@@ -167,6 +167,41 @@ def error_crosstab(records: DataFrame, models, benchmarks, categories=ERRORS) ->
     return grid.join(per, ["model", "benchmark"], "left").na.fill(0)
 
 
+def error_order(records: DataFrame) -> list[str]:
+    """The categories of unsolved records, the commonest first, ties by name: as many names as there are categories."""
+    return [r["category"] for r in errors_by(records).orderBy(F.desc("n"), "category").collect()]
+
+
+def error_ranks(records: DataFrame) -> DataFrame:
+    """Categories of unsolved records with their place by frequency, from 1, ties by name. Ranked after counting."""
+    return errors_by(records).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "category")))
+
+
+def error_crosstab_ranked(records: DataFrame, models, benchmarks) -> DataFrame:
+    """The crosstab as rows in reading order: models and benchmarks as listed, categories by global frequency, 0 where none."""
+    spark = records.sparkSession
+    grid = spark.createDataFrame([(i, m, j, b) for i, m in enumerate(models) for j, b in enumerate(benchmarks)], "model_no int, model string, bench_no int, benchmark string")
+    cells = grid.crossJoin(error_ranks(records).select("category", "place"))  # models by benchmarks by categories: names, not records
+    joined = cells.join(errors_by(records, "model", "benchmark"), ["model", "benchmark", "category"], "left").na.fill(0, ["n"])
+    total = F.sum("n").over(Window.partitionBy("model", "benchmark"))
+    return joined.withColumn("total", total).orderBy("model_no", "bench_no", "place")
+
+
+def languages_by_total(per: DataFrame) -> DataFrame:
+    """solved_by_language with each language's place: most solved first, ties by name."""
+    return per.withColumn("place", F.dense_rank().over(Window.orderBy(F.desc("language_total"), "language"))).orderBy("place", "model")
+
+
+def nonzero(rows: DataFrame, column: str = "n") -> DataFrame:
+    """Rows worth drawing."""
+    return rows.filter(F.col(column) > 0)
+
+
+def preview(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in an order: a top-n, not a sort of all."""
+    return rows.orderBy(*order).limit(n)
+
+
 def error_share(records: DataFrame) -> DataFrame:
     per = errors_by(records).withColumn("whole", F.sum("n").over(Window.partitionBy()))
     return per.select("category", "n", percent(F.col("n"), F.col("whole")).alias("share_pct"))

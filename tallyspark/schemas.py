@@ -11,8 +11,9 @@ PROBLEMS = {
     "plot2code": (_s("instruction", "code", "url", "ref_image")),
     "multipl-e": (f"{_s('name', 'language', 'prompt', 'tests')}, stop_tokens array<string>"),
 }
+USUAL_METRICS = "struct<codebleu:double>"
 COMMON = (
-    f"{_s('task_id', 'model', 'model_id', 'architecture', 'benchmark', 'code')}, passed boolean, category string, metrics struct<codebleu:double>,"
+    f"{_s('task_id', 'model', 'model_id', 'architecture', 'benchmark', 'code')}, passed boolean, category string, metrics {USUAL_METRICS},"
     " usage struct<input_tokens:long,output_tokens:long,cache_read_input_tokens:long,cache_creation_input_tokens:long>, stderr string"
 )
 OWN = (

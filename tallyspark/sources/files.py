@@ -36,6 +36,13 @@ def write_images(df: DataFrame, folder: str) -> None:
     df.select("task_id", "image").foreachPartition(put)
 
 
+def export_charts(spark: SparkSession, notebook: str, folder: str) -> DataFrame:
+    """Writes a notebook's charts under the names of their cells; returns the names."""
+    shown = notebook_images(spark, notebook)
+    write_images(shown.select(F.col("name").alias("task_id"), F.col("content").alias("image")), folder)
+    return shown.select("name")
+
+
 def notebook_images(spark: SparkSession, path: str) -> DataFrame:
     """name, content of each picture that a notebook's tracked cells show."""
     cell = "cells array<struct<source:array<string>,outputs:array<struct<data:map<string,string>>>>>"

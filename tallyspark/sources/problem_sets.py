@@ -69,6 +69,21 @@ def multipl_e(spark: SparkSession, path: str, limit: int | None = None, language
     return first_per_group(df, "language", "name", limit) if limit is not None else df
 
 
+def _library_set(spark, path, limit, only):
+    names = [canonical_library(x) for x in only or ()]
+    return ds1000(spark, path, limit, names or None).withColumns({"library": F.col("metadata.library"), "perturbation_type": F.col("metadata.perturbation_type")})
+
+
+#: benchmark: (spark, path, limit, libraries or languages) -> its problems. Add a set by adding an entry.
+LOADERS = {
+    "humaneval": lambda spark, path, limit, only: humaneval(spark, path, limit),
+    "mbpp": lambda spark, path, limit, only: mbpp([spark.read.parquet(path)], limit),
+    "ds1000": _library_set,
+    "plot2code": lambda spark, path, limit, only: plot2code(spark, path, limit),
+    "multipl-e": lambda spark, path, limit, only: multipl_e(spark, path, limit, only or None),
+}
+
+
 def first_per_group(df: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order)))
     return ranked.filter(F.col("_n") <= limit).drop("_n")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import LOG
+from ..schemas import LOG, USUAL_METRICS
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Attempts; lines that are blank, cut off or without a task_id are skipped."""
+def read_log(spark: SparkSession, path: str, metrics: str | None = None) -> DataFrame:
+    """Attempts; lines that are blank, cut off or without a task_id are skipped. metrics: the type of that column, where there are
+    more measures than the usual one."""
+    schema = LOG.replace(USUAL_METRICS, metrics) if metrics else LOG
     text = spark.read.text(path)
-    parsed = text.select(F.from_json("value", LOG, {"mode": "PERMISSIVE"}).alias("r"))
+    parsed = text.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
     return parsed.select("r.*").filter(F.col("task_id").isNotNull())
 
 
