@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bags, images, outcome
+from ..functions import bags, grid, images, outcome
 from ..functions import code as code_functions
 from ..functions import text as X
 from ..operators import detail as detail_tables
@@ -23,7 +23,7 @@ ATTEMPTS = """attempts AS (
     SELECT event_id AS seq, concat('m', user_id % 3) AS model, concat('b', k % 5) AS benchmark,
            concat('t/', CAST((user_id - user_id % 3) // 3 AS BIGINT)) AS task_id,
            CASE event_type WHEN 'click' THEN 'Passed' WHEN 'view' THEN 'Passed' WHEN 'purchase' THEN 'AssertionError' WHEN 'signup' THEN 'APIError' ELSE 'SyntaxError' END AS category,
-           CASE WHEN k % 5 = 4 THEN NULL ELSE round(value / 500, 4) END AS score,
+           CASE WHEN k % 5 = 4 THEN NULL ELSE value / 700 END AS score,
            CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS input_tokens,
            CASE WHEN event_type = 'signup' THEN NULL ELSE k * 10 END AS output_tokens
     FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e
@@ -47,6 +47,13 @@ MATRIX = """matrix AS (
 )"""
 
 
+def _mean(digits: int, of: str = "score") -> str:
+    """The mean score, summed up in whole units and rounded once."""
+    unit = 10 ** (R.DIGITS - digits)
+    total = f"CAST(sum(CAST({of} AS DECIMAL({R.DIGITS + 8}, {R.DIGITS}))) * {10**R.DIGITS} AS HUGEINT)"
+    return f"CASE WHEN count({of}) > 0 THEN CAST((2 * {total} + count({of}) * {unit}) // (2 * count({of}) * {unit}) AS DOUBLE) / 1e{digits} END"
+
+
 RANGE = 65536  # keys summed up as one in running counts
 
 
@@ -117,18 +124,41 @@ def json_roundtrip(spark, sf):
     return rows.select(F.from_json(F.to_json(F.struct("*")), rows.schema).alias("r")).select("r.*")
 
 
-@query()
-def stream_latest(spark, sf):
-    """The batch report's records, gathered by the streaming store from files of JSON lines."""
+def _log_files(spark, sf, columns=None):
+    """A new folder with the attempts as files of JSON lines in ``in``, and their schema."""
     import uuid
 
-    from ..streaming import records as stream
-
     top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = S.attempts(spark, sf)
-    rows.write.json(f"{top}/in")
-    stream.start_store(stream.attempts(spark, f"{top}/in", rows.schema), S.KEYS, f"{top}/store", f"{top}/state").awaitTermination()
-    return stream.current(spark, f"{top}/store", S.KEYS)
+    rows = rows.select(*columns) if columns else rows
+    rows.repartitionByRange(6, "seq").write.json(f"{top}/in")
+    return top, rows.schema
+
+
+@query(f"WITH {RECORDS} SELECT model, benchmark, task_id, seq, category, score, input_tokens, output_tokens FROM records")
+def stream_latest(spark, sf):
+    """The batch report's records, gathered by a stream of many batches in the committed store, and read while some of its deltas are open."""
+    from ..streaming import records as stream
+    from ..streaming.store import RecordStore
+
+    top, schema = _log_files(spark, sf)
+    store = RecordStore(spark, f"{top}/store", S.KEYS, many=4)
+    stream.start_store(stream.attempts(spark, f"{top}/in", schema, files_per_trigger=1), store, f"{top}/state").awaitTermination()
+    return store.current().select(*S.KEYS, "seq", "category", "score", "input_tokens", "output_tokens")
+
+
+@query(f"WITH {RECORDS} SELECT model, benchmark, task_id FROM records WHERE category = 'APIError'")
+def stream_todo(spark, sf):
+    """The tasks to be run again, by a stream whose state forgets the tasks that are done."""
+    from ..streaming import records as stream
+    from ..streaming import retry
+    from ..streaming.store import RecordStore
+
+    top, schema = _log_files(spark, sf, [*S.KEYS, "seq", "category"])
+    store = RecordStore(spark, f"{top}/store", S.KEYS, order="order")
+    attempts = stream.attempts(spark, f"{top}/in", schema, files_per_trigger=2)
+    retry.start_retries(spark, attempts, S.KEYS, store, f"{top}/state", keep_ms=1).awaitTermination()
+    return retry.pending(store)
 
 
 # ---------------------------------------------------------------- reports
@@ -147,9 +177,9 @@ def pass_rate_pivot(spark, sf):
     return R.pass_rate_pivot(S.records(spark, sf), S.BENCHES)
 
 
-_SUMMARY = """summary AS (
+_SUMMARY = f"""summary AS (
     SELECT model, dim.architecture, count(*) AS total, count(*) FILTER (WHERE solved) AS passed, round(1e0 * count(*) FILTER (WHERE solved) / count(*), 6) AS pass_at_1,
-           CASE WHEN count(score) > 0 THEN CAST((200 * CAST(sum(CAST(score AS DECIMAL(18, 4))) * 10000 AS HUGEINT) + count(score)) // (2 * count(score)) AS DOUBLE) / 1e6 END AS mean_score, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens,
+           {_mean(6)} AS mean_score, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens,
            round(sum(coalesce(input_tokens, 0)) / 1e6 * coalesce(max(price_in), 0) + sum(coalesce(output_tokens, 0)) / 1e6 * coalesce(max(price_out), 0), 4) AS cost_usd
     FROM records LEFT JOIN dim USING (model) GROUP BY model, dim.architecture
 )"""
@@ -179,13 +209,13 @@ def errors_by_model_map(spark, sf):
     return R.error_map(S.records(spark, sf)).select("model", F.array_join(listed, ",").alias("errors"))
 
 
-@query(f"WITH {RECORDS} SELECT model, {', '.join(f"round(avg(score) FILTER (WHERE benchmark = '{b}'), 3) AS {b}" for b in S.BENCHES[:4])} FROM records WHERE benchmark <> 'b4' GROUP BY model")
+@query(f"WITH {RECORDS} SELECT model, {', '.join(f"{_mean(3, f"CASE WHEN benchmark = '{b}' THEN score END")} AS {b}" for b in S.BENCHES[:4])} FROM records WHERE benchmark <> 'b4' GROUP BY model")
 def score_mean_pivot(spark, sf):
     return R.score_pivot(S.records(spark, sf), S.BENCHES[:4])
 
 
 @query(
-    f"WITH {RECORDS}, {RATES}, scores AS (SELECT model, benchmark, avg(score) AS mean_score FROM records WHERE score IS NOT NULL GROUP BY ALL)"
+    f"WITH {RECORDS}, {RATES}, scores AS (SELECT model, benchmark, {_mean(3)} AS mean_score FROM records WHERE score IS NOT NULL GROUP BY ALL)"
     " SELECT model, benchmark, concat(solved, ' / ', n) AS solved_of, pass_pct, coalesce(format('{:.3f}', mean_score), 'n/d') AS score_text FROM rates LEFT JOIN scores USING (model, benchmark)"
 )
 def summary_with_score(spark, sf):
@@ -552,6 +582,56 @@ def global_ssim_1d(spark, sf):
     return _vector_pairs(spark, sf).select("a", F.round(bags.global_ssim(F.col("x"), F.col("y")), 6).alias("ssim"))
 
 
+# pictures: the lines of every two that follow each other, ``one`` and ``two``, null where one has no such line
+def _ssim_sql(pictures: str) -> str:
+    from ..functions.grid import kernel
+
+    weights = kernel()
+    listed = ", ".join(f"({k - len(weights) // 2}, {w!r}e0)" for k, w in enumerate(weights))
+    place = lambda i, n: f"CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
+    sums = lambda c: ", ".join(f"sum(w * {x}) AS {y}" for x, y in c.items())
+    maps = {m: m for m in ("m1", "m2", "aa", "bb", "ab")}
+    return f"""WITH w(k, w) AS (VALUES {listed}), px AS ({pictures}), sizes AS (SELECT p, max(y) + 1 AS h, max(x) + 1 AS n FROM px GROUP BY p), pairs AS (
+    SELECT a.p, a.y, a.x, s.h, s.n, a.v AS a, b.v AS b FROM px a JOIN px b ON b.p = a.p + 1 AND b.y = a.y AND b.x = a.x JOIN sizes s ON s.p = a.p JOIN sizes t ON t.p = b.p WHERE s.h = t.h
+), along AS (
+    SELECT b.p, b.y, b.x, b.h, {sums({"s.a": "m1", "s.b": "m2", "s.a * s.a": "aa", "s.b * s.b": "bb", "s.a * s.b": "ab"})}
+    FROM pairs b CROSS JOIN w JOIN pairs s ON s.p = b.p AND s.y = b.y AND s.x = {place("b.x + k", "b.n")} GROUP BY b.p, b.y, b.x, b.h
+), done AS (
+    SELECT b.p, b.y, b.x, {sums({f"s.{m}": m for m in maps})} FROM along b CROSS JOIN w JOIN along s ON s.p = b.p AND s.x = b.x AND s.y = {place("b.y + k", "b.h")} GROUP BY b.p, b.y, b.x
+), scored AS (
+    SELECT p, avg((2 * m1 * m2 + 6.5025e0) * (2 * (ab - m1 * m2) + 58.5225e0) / ((m1 * m1 + m2 * m2 + 6.5025e0) * (aa - m1 * m1 + bb - m2 * m2 + 58.5225e0))) AS ssim FROM done GROUP BY p
+)
+SELECT s.p AS picture, CASE WHEN ssim IS NOT NULL THEN round(least(greatest(ssim, 0e0), 1e0), 6) END AS ssim FROM sizes s JOIN sizes t ON t.p = s.p + 1 LEFT JOIN scored c ON c.p = s.p"""
+
+
+def _lines_of_pairs(lines: DataFrame) -> DataFrame:
+    """picture, y, one, two: every line of a picture beside that of the next one; lines are (p, y, line)."""
+    first = lines.select(F.col("p").alias("picture"), "y", F.col("line").alias("one"))
+    second = lines.select((F.col("p") - 1).alias("picture"), "y", F.col("line").alias("two"))
+    there = lines.select("p").distinct()
+    pairs = there.select(F.col("p").alias("picture")).join(there.select((F.col("p") - 1).alias("picture")), "picture")
+    return pairs.join(first.join(second, ["picture", "y"], "full"), "picture")
+
+
+def _grey(x):
+    return (x.cast("double") + 1) * 127.5
+
+
+@query(_ssim_sql("SELECT vec_id AS p, i // 8 AS y, i % 8 AS x, (CAST(v AS DOUBLE) + 1) * 127.5e0 AS v FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings) t"))
+def ssim_tiles(spark, sf):
+    """Each vector as a picture of 8 by 8 pixels, against the next one."""
+    line = lambda y: F.transform(F.slice("embedding", y * 8 + 1, 8), _grey)
+    tiles = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("p"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), line)).alias("y", "line"))
+    return grid.similarity(_lines_of_pairs(tiles), ["picture"]).select("picture", F.round("ssim", 6).alias("ssim"))
+
+
+@query(_ssim_sql("SELECT vec_id // 64 AS p, vec_id % 64 AS y, unnest(range(len(embedding))) AS x, (CAST(unnest(embedding) AS DOUBLE) + 1) * 127.5e0 AS v FROM embeddings"))
+def ssim_pictures(spark, sf):
+    """Every 64 vectors as a picture of as many lines, against the next one; null where the last has fewer lines."""
+    lines = S.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("p"), (F.col("vec_id") % 64).cast("int").alias("y"), F.transform("embedding", _grey).alias("line"))
+    return grid.similarity(_lines_of_pairs(lines), ["picture"]).select("picture", F.round("ssim", 6).alias("ssim"))
+
+
 # ---------------------------------------------------------------- detail tables
 
 

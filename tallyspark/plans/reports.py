@@ -16,10 +16,17 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(100e0 * F.try_divide(part, whole), digits)
 
 
-def exact_mean(total: str, n: str) -> Column:
-    """total / n, to 6 digits, of a whole number of ten-thousandths that isn't negative: in whole numbers, so that neither the order of
+#: scores are summed up in whole units of 10 ** -DIGITS
+DIGITS = 12
+SCORE_SUM = f"sum(CAST(CAST(score AS DECIMAL({DIGITS + 8}, {DIGITS})) * {10**DIGITS} AS DECIMAL({DIGITS + 8}, 0)))"
+
+
+def exact_mean(total: str, n: str, digits: int) -> Column:
+    """total / n of a sum of units as ``SCORE_SUM`` makes it, that isn't negative, rounded once, half up: in whole numbers, so that neither the order of
     a sum nor a tie in rounding matters. Null where n is 0."""
-    return F.expr(f"CASE WHEN {n} > 0 THEN (200 * {total} + {n}) DIV (2 * {n}) / 1e6D END")
+    unit = 10 ** (DIGITS - digits)
+    many = f"CAST({n} AS DECIMAL(20, 0))"
+    return F.expr(f"CASE WHEN {n} > 0 THEN ((2 * {total} + {many} * {unit}) DIV (2 * {many} * {unit})) / 1e{digits}D END")
 
 
 def running_counts(rows: DataFrame, group: str, order: str, counted: Column, name: str, span: int) -> DataFrame:
@@ -58,7 +65,7 @@ def model_summary(records: DataFrame, dimension: DataFrame) -> DataFrame:
     per = records.groupBy("model").agg(
         F.count("*").alias("total"),
         solved_count().alias("passed"),
-        F.sum((F.col("score").cast("decimal(18,4)") * 10000).cast("long")).alias("score_sum"),
+        F.expr(SCORE_SUM).alias("score_sum"),
         F.count("score").alias("scored"),
         tokens("input_tokens").alias("input_tokens"),
         tokens("output_tokens").alias("output_tokens"),
@@ -66,7 +73,7 @@ def model_summary(records: DataFrame, dimension: DataFrame) -> DataFrame:
     priced = per.join(dimension.select("model", "architecture", "price_in", "price_out"), "model", "left")
     cost = F.col("input_tokens") / 1e6 * F.coalesce("price_in", F.lit(0.0)) + F.col("output_tokens") / 1e6 * F.coalesce("price_out", F.lit(0.0))
     rate = F.round(F.col("passed") / F.col("total"), 6)
-    return priced.select("model", "architecture", "total", "passed", rate.alias("pass_at_1"), exact_mean("score_sum", "scored").alias("mean_score"), "input_tokens", "output_tokens", F.round(cost, 4).alias("cost_usd"))
+    return priced.select("model", "architecture", "total", "passed", rate.alias("pass_at_1"), exact_mean("score_sum", "scored", 6).alias("mean_score"), "input_tokens", "output_tokens", F.round(cost, 4).alias("cost_usd"))
 
 
 def cost_totals(summary: DataFrame) -> DataFrame:
@@ -91,13 +98,13 @@ def error_map(records: DataFrame) -> DataFrame:
 
 
 def score_pivot(records: DataFrame, benchmarks) -> DataFrame:
-    wide = records.filter(F.col("benchmark").isin(*benchmarks)).groupBy("model").pivot("benchmark", list(benchmarks)).agg(F.round(F.avg("score"), 3))
+    wide = records.filter(F.col("benchmark").isin(*benchmarks)).groupBy("model").pivot("benchmark", list(benchmarks)).agg(exact_mean(SCORE_SUM, "count(score)", 3))
     return wide
 
 
 def summary_with_score(records: DataFrame) -> DataFrame:
     """Pass counts as text, and the mean score where there is one."""
-    scores = records.filter("score is not null").groupBy("model", "benchmark").agg(F.avg("score").alias("mean_score"))
+    scores = records.filter("score is not null").groupBy("model", "benchmark").agg(exact_mean(SCORE_SUM, "count(score)", 3).alias("mean_score"))
     joined = pass_rates(records).join(scores, ["model", "benchmark"], "left")
     shown = F.coalesce(F.format_number("mean_score", 3), F.lit("n/d"))
     return joined.select("model", "benchmark", F.concat_ws(" / ", F.col("solved").cast("string"), F.col("n").cast("string")).alias("solved_of"), "pass_pct", shown.alias("score_text"))

@@ -27,7 +27,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("b"), (F.col("k") % 5).cast("string")).alias("benchmark"),
         F.concat(F.lit("t/"), ((F.col("user_id") - F.col("user_id") % 3) / 3).cast("long").cast("string")).alias("task_id"),
         F.when(kind.isin("click", "view"), "Passed").when(kind == "purchase", "AssertionError").when(kind == "signup", "APIError").otherwise("SyntaxError").alias("category"),
-        F.when(F.col("k") % 5 != 4, F.round(F.col("value") / 500, 4)).alias("score"),
+        F.when(F.col("k") % 5 != 4, F.col("value") / 700).alias("score"),
         F.when(kind != "signup", F.floor("value").cast("long")).alias("input_tokens"),
         F.when(kind != "signup", F.col("k") * 10).alias("output_tokens"),
     )

@@ -1,35 +1,21 @@
-"""The record store as a stream: files of attempts in, the latest record of each key out."""
+"""The record store as a stream: files of attempts in, the latest record of each key out.
+
+The stream holds nothing but its place in the files: each batch's own records are combined and committed to the store, which settles what is latest.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..schemas import LOG
+from .store import RecordStore
 
 
 def attempts(spark: SparkSession, path: str, schema=LOG, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def latest(stream: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """The last record of each key. A lower ``order`` that comes late changes nothing: the maximum doesn't mind the order."""
-    rest = [c for c in stream.columns if c not in keys]
-    return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("last")).select(*keys, "last.*")
-
-
-def start_store(stream: DataFrame, keys: list[str], path: str, checkpoint: str, order: str = "seq", **trigger):
-    """Keep the latest records as Parquet under ``path``, one folder a batch; ``current`` reads the store."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
-
-    query = latest(stream, keys, order).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return query.foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def current(spark: SparkSession, path: str, keys: list[str], order: str = "seq") -> DataFrame:
-    from ..sources.run_log import last_write_wins
-
-    stored = spark.read.parquet(f"{path}/batch=*")
-    return last_write_wins(stored.drop("_batch", "batch"), keys, order)
+def start_store(stream: DataFrame, store: RecordStore, checkpoint: str, writer: str = "stream", **trigger):
+    """Commit every batch of the stream to the store, once each; ``store.current()`` reads it."""
+    query = stream.writeStream.foreachBatch(store.sink(writer)).option("checkpointLocation", checkpoint)
+    return query.trigger(**(trigger or {"availableNow": True})).start()
