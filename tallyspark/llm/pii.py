@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, attached, materialize, small_or_plain
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, CONFIDENCE, SUPPORT, RUN = 2, 0.8, 5, 256
+ROUNDS, CONFIDENCE, SUPPORT, RUN, PIECE = 2, 0.8, 5, 256, 4096
 
 # The contract's patterns. Possessive repeats and the look-behinds change no match: a run that could begin a match is entered at
 # its first character only, and nothing is given back where giving back can't help; so long runs take linear time.
@@ -62,8 +62,8 @@ def located(text: Column, pattern: str) -> Column:
             end = begin + F.length(s["match"])
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), s["match"].alias("match")))).alias("out"))
 
-        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(p["found"]) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(steps, k * RUN + 1, RUN), start, step))
-        return F.when(F.size(p["found"]) == 0, F.array().cast(none)).otherwise(let(runs, joined))
+        in_runs = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(p["found"]) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(all_, k * RUN + 1, RUN), start, step))
+        return F.when(F.size(p["found"]) == 0, F.array().cast(none)).otherwise(let(let(steps, in_runs), joined))
 
     def joined(runs):
         ends = F.aggregate(runs, F.array(F.lit(0).cast("long")), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
@@ -165,14 +165,41 @@ def learned(graph: DataFrame) -> DataFrame:
     return accepted
 
 
+def _touched(base: Column, instances: Column) -> Column:
+    """For each instance the first base span, by kind and start, that it shares a place with, or null.
+
+    Spans of a kind lie in order and apart, and so do instances. In the order of the spans' ends and the instances' starts, an instance's place less its own number
+    is how many spans end before it: the next one is the first that can touch it. So nothing is searched.
+    """
+
+    def of_kind(i):
+        def found(spans):
+            ends = F.transform(spans, lambda b: F.struct(b["end"].alias("at"), F.lit(-1).alias("nth")))
+            starts = F.transform(instances, lambda x, k: F.struct(x["start"].alias("at"), k.alias("nth")))
+            placed = F.transform(F.sort_array(F.concat(ends, starts)), lambda x, p: F.struct(x["nth"].alias("nth"), (p - x["nth"]).alias("before")))
+
+            def touching(x):
+                near = F.get(spans, x["before"])
+                return F.when(near["start"] < F.get(instances, x["nth"])["end"], near)
+
+            return F.transform(F.filter(placed, lambda x: x["nth"] >= 0), touching)
+
+        spans = F.filter(base, lambda b: b["kind"] == i)
+        none = F.transform(instances, lambda _: F.lit(None).cast("struct<kind:int,start:long,end:long,h:long>"))
+        return F.when(F.exists(base, lambda b: b["kind"] == i), let(spans, found)).otherwise(none)
+
+    kinds = F.struct(*[of_kind(i).alias(f"k{i}") for i in range(len(KINDS))])
+    first = lambda all_: F.transform(instances, lambda _, k: F.coalesce(*[F.get(all_[f"k{i}"], k) for i in range(len(KINDS))]))
+    return let(kinds, first)
+
+
 def _discovered(marked: DataFrame, hidden: Column | None = None) -> DataFrame:
     """key columns and found: spans that accepted patterns discover, a row for each text that has any.
 
     hidden: a condition on the instance; seeds for which it holds aren't used, so that their rediscovery can be measured.
     """
-    touching = F.filter("base", lambda b: (b["start"] < F.col("i.end")) & (b["end"] > F.col("i.start")))
-    seen = marked.filter(F.size("instances") > 0).select("doc_id", "text_key", "base", F.explode("instances").alias("i"))
-    seen = seen.select("doc_id", "text_key", "i.*", F.get(touching, F.lit(0)).alias("base"))
+    both = F.arrays_zip(F.col("instances").alias("i"), _touched(F.col("base"), F.col("instances")).alias("base"))
+    seen = marked.filter(F.size("instances") > 0).select("doc_id", "text_key", F.explode(both).alias("x")).select("doc_id", "text_key", "x.i.*", "x.base")
     seed = F.col("base").isNotNull() if hidden is None else F.col("base").isNotNull() & ~hidden
     seen = seen.withColumn("kind", F.when(seed, F.col("base.kind")))
     # a seed is one instance with all its words
@@ -205,7 +232,7 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id; base: array of (kind, start, end); spans: the same with what the patterns discovered, by kind and start."""
     marked = materialize(_marked(docs), "pii-marked")
     rows = _with_found(marked.select("doc_id", "text_key", _plain("base")), _discovered(marked))
-    return rows.select("doc_id", "base", F.array_sort(F.array_union("base", "found")).alias("spans"))
+    return rows.select("doc_id", "base", F.sort_array(F.concat("base", "found")).alias("spans"))  # what is found touches no base span
 
 
 def listed(spans: Column) -> Column:
@@ -214,27 +241,50 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _earlier_max(values: Column) -> Column:
+    """For each of an array's numbers, none of which is negative, the largest before it, 0 for the first; runs of RUN at a time."""
+    in_runs = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda k: F.slice(all_, k * RUN + 1, RUN))
+
+    def carried(parts):
+        tops = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda acc, r: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), F.array_max(r)))))
+        own = lambda r, top: F.transform(r, lambda _, i: F.greatest(top, F.coalesce(F.array_max(F.slice(r, 1, i)), F.lit(0).cast("long"))))
+        return let(tops, lambda t: F.flatten(F.zip_with(parts, F.slice(t, 1, F.size(parts)), own)))
+
+    return let(let(values, in_runs), carried)
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text that is cut into pieces of PIECE code points."""
+    first, last = F.floor(start / PIECE), F.floor((end - 1) / PIECE)
+    part = lambda k: F.substring(F.get(pieces, k.cast("int")), (F.greatest(start - k * PIECE, F.lit(0)) + 1).cast("int"), (F.least(end - k * PIECE, F.lit(PIECE)) - F.greatest(start - k * PIECE, F.lit(0))).cast("int"))
+    return F.when(end <= start, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(first, F.greatest(last, first)), part), ""))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """A text with each stretch that spans (start, end, kind; sorted, one at least) cover replaced by the kind of its first one, in linear time."""
+    name = lambda k: F.element_at(F.array(*[F.lit(f"<{x}>") for x in KINDS]), k + 1)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0))
+
+    def done(cut):
+        ends = F.transform(spans, lambda s: s["end"])
+        steps = F.zip_with(spans, _earlier_max(ends), lambda s, at: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), at.alias("at")))
+        fresh = F.filter(steps, lambda s: s["start"] >= s["at"])
+        put = F.transform(fresh, lambda s: F.concat(_between(cut, s["at"], s["start"]), name(s["kind"])))
+        return F.concat(F.array_join(put, ""), _between(cut, F.array_max(ends), F.length(text).cast("long")))
+
+    return let(pieces, done)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The rows with every span of their texts replaced by ``<kind>``; null texts stay null. All columns are kept."""
     marked = materialize(_marked(docs), "pii-marked")
     spans = _with_found(marked.select("doc_id", "text_key", _plain("base")), _discovered(marked))
-    order = F.transform(F.array_union("base", "found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.array_sort(order).alias("spans")).filter(F.size("spans") > 0)
+    order = F.transform(F.concat("base", "found"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.sort_array(order).alias("spans")).filter(F.size("spans") > 0)
     spans = materialize(spans.dropDuplicates(["_doc", "_key"]), "pii-spans")  # rows that agree in both have the same spans
     spans = small_or_plain(spans)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))  # names in the row can't clash
     rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
     text = F.col("row.text")
-    name = lambda k: F.element_at(F.array(*[F.lit(f"<{x}>") for x in KINDS]), k + 1)
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        put = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, name(s["kind"]))).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] < acc["at"], inside).otherwise(put)
-
-    rest = lambda acc: F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))
-    done = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), rest(acc)))
-    clean = F.when(F.col("spans").isNull(), text).otherwise(done)
+    clean = F.when(F.col("spans").isNull() | (F.size("spans") == 0), text).otherwise(replaced(text, F.col("spans")))
     return rows.select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
