@@ -7,9 +7,9 @@ its rules, so that each level of the score is one cutoff on every rule, and laxe
 
 In each stratum the levels are gone through from the strictest on. A level is accepted while an exact binomial test on the
 calibration rows rejects that a good text reaches it with probability RISK or more; the first that isn't accepted ends
-the sequence, so nothing is lost along it. Strata are corrected for by Holm's rule: those whose sequences begin with the smallest p-values are tested
-at DELTA / (strata - rank), and no further than a stratum whose first level fails. Of the accepted levels the one is taken that rejects
-most bad rows less PENALTY times the good ones. So with probability 1 - DELTA, in every stratum the rules reject at most RISK of
+the sequence, so nothing is lost along it. Strata are corrected for by Bonferroni's rule: every test of a stratum is made at DELTA / strata. (A share that one stratum
+has used for its first level can't be passed on to others while it is still used for its later ones.) Of the accepted levels the one is taken that rejects
+most bad rows less PENALTY times the good ones. So with probability 1 - DELTA or more, in every stratum the rules reject at most RISK of
 the good texts that the base rules keep. Strata with fewer good calibration rows than a test without any rejected one needs
 (``least_rows``) are one stratum together, for which the same holds as a whole; if that is too small too, it gets no cutoff.
 
@@ -98,7 +98,7 @@ def at_most(k: Column, n: Column, p: float) -> Column:
 
 
 def least_rows(strata: int, risk: float = RISK, delta: float = DELTA) -> int:
-    """Good rows without which no test can reject, at the level that the first of so many strata is tested at."""
+    """Good rows without which no test can reject, at the level that each of so many strata is tested at."""
     return math.ceil(math.log(delta / max(1, strata)) / math.log1p(-risk))
 
 
@@ -114,11 +114,18 @@ def _worth(steps: DataFrame, both: DataFrame) -> DataFrame:
     return tails.filter("step > 0").withColumn("ratio", ratio).select("stratum", "rule", "step", F.max("ratio").over(below).alias("worth"))
 
 
-def _levels(worth: DataFrame) -> DataFrame:
-    """stratum, level, and the lowest step of each rule that reaches it: every worth is a level."""
-    levels = worth.select("stratum", F.col("worth").alias("level")).filter("level > 0").distinct()
-    reached = levels.join(worth, "stratum").filter(F.col("worth") >= F.col("level"))
-    return reached.groupBy("stratum", "level").pivot("rule", list(shares())).agg(F.min("step"))
+def _by_step(worth: DataFrame) -> DataFrame:
+    """stratum, and for each rule an array: the worth of its steps from 0 to STEPS. As large as strata x rules x STEPS."""
+    listed = worth.groupBy("stratum").pivot("rule", list(shares())).agg(F.collect_list(F.struct("step", "worth")))
+    upto = lambda c, i: F.array_max(F.transform(F.filter(c, lambda x: x["step"] <= i), lambda x: x["worth"]))
+    dense = lambda r: F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: F.coalesce(upto(F.col(r), i), F.lit(0.0)))
+    return listed.select("stratum", *[dense(r).alias(f"w_{r}") for r in shares()])
+
+
+def accepted(tested: DataFrame, alpha: Column) -> DataFrame:
+    """The rows (stratum, level, p, ...) of each stratum's levels, from the strictest on, before the first whose p is above alpha."""
+    stricter = Window.partitionBy("stratum").orderBy(F.desc("level"))
+    return tested.withColumn("fails", F.max((F.col("p") > alpha).cast("int")).over(stricter)).filter("fails = 0").drop("fails")
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -143,25 +150,18 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in rules])).alias("x")
     by_step = learning.select("stratum", "good", "bad", each).groupBy("stratum", "x.rule", "x.step").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     both = learning.groupBy("stratum").agg(F.sum("good").alias("goods"), F.sum("bad").alias("bads"))
-    levels = materialize(_levels(materialize(_worth(by_step, both), "rules-worth")), "rules-levels")
-    cuts = levels.select(F.col("stratum").alias("s"), "level", *[F.col(r).alias(f"cut_{r}") for r in rules])
-    beyond = reduce(lambda x, y: x | y, [F.coalesce(F.col(r) >= F.col(f"cut_{r}"), F.lit(False)) for r in rules])
-    size = rest.groupBy("stratum").agg(F.sum("good").alias("n"))
-    hit = rest.join(F.broadcast(cuts), F.col("stratum").eqNullSafe(F.col("s"))).groupBy("stratum", "level")
-    hit = hit.agg(F.sum(F.when(beyond, F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(beyond, F.col("bad")).otherwise(0)).alias("caught"))
-    tried = materialize(hit.join(F.broadcast(size), "stratum").withColumn("p", at_most(F.col("k"), F.col("n"), risk)), "rules-tested")
-    # Holm over the strata, by the p-value of each one's first level
-    first = tried.groupBy("stratum").agg(F.max_by("p", "level").alias("p"))
-    order = Window.orderBy("p", F.xxhash64("stratum"))  # a row a stratum
-    ranked = first.withColumn("rank", F.row_number().over(order)).withColumn("strata", F.count("*").over(Window.partitionBy()))
-    alpha = delta / (F.col("strata") - F.col("rank") + 1)
-    ranked = ranked.withColumn("alpha", alpha).withColumn("stopped", F.max((F.col("p") > F.col("alpha")).cast("int")).over(order))
-    open_ = ranked.filter("stopped = 0").select(F.col("stratum").alias("s"), "alpha")
+    worths = materialize(_by_step(materialize(_worth(by_step, both), "rules-worth")), "rules-worths")
+    score = F.greatest(*[F.get(F.col(f"w_{r}"), F.col(r)) for r in rules])
+    scored = rest.join(F.broadcast(worths), "stratum").withColumn("level", score).groupBy("stratum", "level").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     stricter = Window.partitionBy("stratum").orderBy(F.desc("level"))
-    gone = tried.join(F.broadcast(open_), F.col("stratum").eqNullSafe(F.col("s"))).withColumn("fails", F.max((F.col("p") > F.col("alpha")).cast("int")).over(stricter))
+    sums = {"k": F.sum("good").over(stricter), "caught": F.sum("bad").over(stricter), "n": F.sum("good").over(Window.partitionBy("stratum"))}
+    tried = materialize(scored.withColumns(sums).filter("level > 0").withColumn("p", at_most(F.col("k"), F.col("n"), risk)), "rules-tested")
+    strata = max(1, counted.select("stratum").distinct().count())
+    gone = accepted(tried, F.lit(delta / strata))
     gain = F.col("caught") - PENALTY * F.col("k")
-    best = gone.filter("fails = 0").withColumn("gain", gain).filter("gain > 0").groupBy("stratum").agg(F.max_by("level", F.struct("gain", "level")).alias("level"))
-    best = best.join(levels, ["stratum", "level"]).select("stratum", *rules)
+    best = gone.withColumn("gain", gain).filter("gain > 0").groupBy("stratum").agg(F.max_by("level", F.struct("gain", "level")).alias("level"))
+    lowest = lambda r: F.get(F.filter(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: F.get(F.col(f"w_{r}"), i) >= F.col("level")), F.lit(0))
+    best = best.join(worths, "stratum").select("stratum", *[lowest(r).alias(r) for r in rules])
     return materialize(pooled.join(F.broadcast(best), "stratum").select(F.col("own").alias("stratum"), *rules), "rules-cutoffs")
 
 
