@@ -3,12 +3,13 @@
 The markup is cut into blocks at block-level tags. Blocks in elements that are never text (scripts, styles, forms, menus,
 headers, footers, sidebars) or whose class or id is a name of an advert, a notice or reader comments are dropped at once. Names count as wholes: a
 name of a part, with words before and after it that only say where it is or that it is a box (site-header, comment-list), so that
-share-price, related-work, article-header and with-sidebar are none. Where an element so named would go with main in it, or one
-named for a part of the layout with all of the page's articles, the page is read without and with it, and the longer text taken. Pass one
+share-price, related-work, article-header and with-sidebar are none; an element that is also named for content (content share) stays. Where an element so named would go with main in it, or one
+named for a part of the layout with all of the page's articles, or a form with these, the page is read without and with it, and the longer text taken. Where nothing is left
+of a page, it is read with its forms, and with the elements of which only some names are such. Pass one
 classifies the others by length, stop-word density and link density: bad (mostly links), good (long, with stop words), near good, short.
 Pass two gives the undecided ones the label of the nearest decided neighbours in the same region: good if one of the nearest on
-either side is, bad if both are. Where a page marks its article (article, main), that is the region to read, unless what is good
-outside is more than TEASER times as long: then the marked parts are teasers, and the rest is the region. Only a region's blocks count as neighbours. In
+either side is, bad if both are. Where a page marks its article (article, main), that is the region to read, unless the marked parts are teasers: one without a
+good block beside a text that has them, or several without a second good block each beside one that has two or more. Only a region's blocks count as neighbours. In
 an article, blocks that are mostly links (references) are undecided, not bad, and blocks without decided neighbours are good; elsewhere they are bad.
 Where no block has stop words of a known language, as far as they are known, and in blocks of Chinese, Japanese or Korean, length
 and link density alone decide; a character of these counts as three.
@@ -42,12 +43,13 @@ _BOX = (
 )
 _LAYOUT = r"(?:banner|sidebar|side-bar|menu|nav|navbar|navigation|footer|header|masthead|widgets?|toolbar)"
 _OTHER = (
-    r"(?:ads?|advert\w*|sponsor(?:ed|s|ship)?|promo(?:tion|tions)?|comments?|disqus|replies|respond|breadcrumbs?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|"
+    r"(?:ads?|advert\w*|sponsor(?:ed|s|ship)?|promo(?:tion|tions)?|(?:(?:user|reader|readers|visitor|guest|public|customer|facebook|fb|view|all|latest|recent)[_-])?comments?|discussion|disqus|replies|respond|breadcrumbs?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|"
     r"signup|login|social|share|sharing|related|recommended|pagination|pager)"
 )
 _OF_ARTICLE = r"(?:article|post|entry|story)[_-](?=comments?|share|sharing|social|related|recommended|nav|navigation|pagination|footer|sidebar|ads?(?:$|[_-]))"
 SKIPPED_NAMES = re.compile(rf"(?:{_PLACE})*(?:{_OF_ARTICLE})?(?:{_LAYOUT}|{_OTHER}){_BOX}", re.I)
 LAYOUT_NAMES = re.compile(rf"(?:{_PLACE})*(?:{_OF_ARTICLE})?{_LAYOUT}{_BOX}", re.I)
+CONTENT_NAMES = re.compile(rf"(?:{_PLACE})*(?:article|post|entry|story|page|body|main|content|text)(?:[_-](?:article|post|entry|story|body|main|content|text))*", re.I)
 HAVING = re.compile(r"(?:^|[_-])(?:with|without|no|has|have)[_-]", re.I)
 BUILDER = re.compile(r"^elementor-widget(?:$|[_-])", re.I)  # a page builder's name of any block, text or not
 STOP_WORDS_OF = [
@@ -57,42 +59,49 @@ STOP_WORDS_OF = [
     set("el los y del se las por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre".split()),
 ]
 STOP_WORDS = set().union(*STOP_WORDS_OF)
-LONG, SHORT, DENSE, SPARSE, LINKED, KNOWN, TEASER = 200, 70, 0.3, 0.12, 0.35, 4, 2
+LONG, SHORT, DENSE, SPARSE, LINKED, KNOWN = 200, 70, 0.3, 0.12, 0.35, 4
 
+# a quote opens a value only behind =
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>=]++|=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|=)*+)(?:>|$)",
     re.S,
 )
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WHITE = re.compile(r"\s+")
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
 
 
-def _names(attrs: str) -> list[str]:
-    """Names in class, id and role that stand for what isn't text."""
+def _names(attrs: str) -> tuple[list[str], list[str]]:
+    """Names in class, id and role that stand for what isn't text, and all others."""
     found = [x for m in _NAMED.finditer(attrs) for x in (m[1] or m[2] or m[3] or "").split()]
-    return [x for x in found if not HAVING.search(x) and SKIPPED_NAMES.fullmatch(BUILDER.sub("", x))]
+    bad = [x for x in found if not HAVING.search(x) and SKIPPED_NAMES.fullmatch(BUILDER.sub("", x))]
+    return bad, [x for x in found if x not in bad]
 
 
 def _refused(name: str, attrs: str, in_article: bool) -> str:
-    """Why an element is refused: tag, name, layout (its names are only of layout parts); empty if it isn't."""
+    """Why an element is refused: tag, form, name, mixed (some of its names are of other things), layout (its names are only of layout parts); empty if
+    it isn't."""
     if name in SKIPPED_TAGS or (name == "header" and not in_article):
-        return "tag"
+        return "form" if name == "form" else "tag"
     if attrs and name not in ("html", "body", "main", "article"):
         if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I):
             return "tag"
-        names = _names(attrs)
-        if names:
-            return "layout" if all(LAYOUT_NAMES.fullmatch(BUILDER.sub("", x)) for x in names) else "name"
+        names, others = _names(attrs)
+        if names and not any(CONTENT_NAMES.fullmatch(x) for x in others):
+            layout = all(LAYOUT_NAMES.fullmatch(BUILDER.sub("", x)) for x in names)
+            return "layout" if layout else "mixed" if others else "name"
     return ""
 
 
-def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, whether in an article) of each block that isn't in a refused element; elements
-    that begin at ``exempt`` places aren't refused. The places of refused ones that seem to hold the article go to ``wrappers``."""
+def blocks(page: str, exempt: set[int], wrappers: set[int], doubtful: set[int]) -> list[tuple[str, int, int]]:
+    """(text, characters of it in links, the number of the article it is in, from 1, or 0) of each block that isn't in a refused element; elements
+    that begin at ``exempt`` places aren't refused. The places of refused ones that seem to hold the article go to ``wrappers``, those of forms and of
+    elements of which only some names are refused to ``doubtful``."""
     out, stack, text = [], [], []
     open_named, mains, holding, articles, depth = [], set(), {}, 0, {}
-    refused = links = article = at = 0
+    refused = links = article = ordinal = at = 0
     linked = 0
 
     def close_block():
@@ -100,7 +109,7 @@ def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, i
         if text:
             joined = _WHITE.sub(" ", "".join(text)).strip()
             if joined:
-                out.append((joined, linked, article > 0))
+                out.append((joined, linked, ordinal if article else 0))
             text.clear()
         linked = 0
 
@@ -144,7 +153,7 @@ def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, i
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name in VOID_TAGS or (m["attrs"] or "").endswith("/"):
+        if name in VOID_TAGS or _CLOSED.search(m["attrs"] or ""):
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and depth.get(name):  # these end an open one of their kind
             for i in range(len(stack) - 1, -1, -1):
@@ -156,23 +165,27 @@ def blocks(page: str, exempt: set[int], wrappers: set[int]) -> list[tuple[str, i
                     break
         why = _refused(name, m["attrs"] or "", article > 0) if m.start() not in exempt else ""
         no = why != ""
-        if name == "main" or (name == "article" and not _names(m["attrs"] or "")):
+        if name == "main" or (name == "article" and not _names(m["attrs"] or "")[0]):
             inside = [(place, kind) for _, place, kind in open_named]
             if not any(kind == "tag" for _, kind in inside):
                 if name == "main":
                     mains.update(place for place, _ in inside)
                 else:
                     articles += 1
-                    if all(kind == "layout" for _, kind in inside):
+                    if all(kind in ("layout", "form", "mixed") for _, kind in inside):
                         for place, _ in inside:
                             holding[place] = holding.get(place, 0) + 1
         if no:
             open_named.append((len(stack), m.start(), why))
+            if why in ("form", "mixed"):
+                doubtful.add(m.start())
         stack.append((name, no))
         depth[name] = depth.get(name, 0) + 1
         refused += no
         links += name == "a"
-        article += name in ("article", "main")
+        if name in ("article", "main"):
+            ordinal += not article
+            article += 1
     close_block()
     wrappers.update(mains, (place for place, n in holding.items() if n == articles))
     return out
@@ -182,7 +195,7 @@ def _words(text: str) -> list[str]:
     return [w.strip(".,;:!?\"'()[]#*$%&|").lower() for w in text.split()]
 
 
-def in_known_language(found: list[tuple[str, int, bool]]) -> bool:
+def in_known_language(found: list[tuple[str, int, int]]) -> bool:
     """Whether a block of some length has KNOWN stop words or more of one language, and is dense with them."""
     for text, linked, _ in found:
         if linked <= LINKED * len(text) and len(text) >= SHORT:
@@ -194,7 +207,7 @@ def in_known_language(found: list[tuple[str, int, bool]]) -> bool:
     return False
 
 
-def first_pass(text: str, linked: int, in_article: bool, known: bool = True) -> str:
+def first_pass(text: str, linked: int, in_article: int, known: bool = True) -> str:
     """bad, good, near or short; by length and links alone if the language isn't ``known``."""
     if linked > LINKED * len(text):
         return "short" if in_article else "bad"
@@ -212,22 +225,35 @@ def first_pass(text: str, linked: int, in_article: bool, known: bool = True) ->
 
 
 def main_text(page: str) -> str:
-    wrappers: set[int] = set()
-    text = _chosen(blocks(page, set(), wrappers))
-    return max(text, _chosen(blocks(page, wrappers, set())), key=len) if wrappers else text
-
-
-def _chosen(found: list[tuple[str, int, bool]]) -> str:
-    """The text of the region to read: what is in articles or, if they are teasers beside it, the rest."""
+    wrappers, doubtful = set(), set()
+    text = _chosen(blocks(page, set(), wrappers, doubtful))
+    if wrappers:
+        text = max(text, _chosen(blocks(page, wrappers, set(), set())), key=len)
+    return text or (_chosen(blocks(page, wrappers | doubtful, set(), set())) if doubtful else text)
+
+
+def _teasers(inside: list[tuple[str, int, int]], outside: list[tuple[str, int, int]], known: bool) -> bool:
+    """Whether the marked articles only point to a text beside them: as the number of good blocks says, in each and outside."""
+    good = {n: 0 for _, _, n in inside}
+    near = False
+    for block in inside:
+        label = first_pass(*block, known)
+        good[block[2]] += label == "good"
+        near |= label == "near"
+    beside = sum(first_pass(*b, known) == "good" for b in outside)
+    if not any(good.values()):
+        return beside > near
+    return len(good) > 1 and max(good.values()) < 2 <= beside
+
+
+def _chosen(found: list[tuple[str, int, int]]) -> str:
+    """The text of the region to read: what is in articles or, if they are teasers, the rest."""
     known = in_known_language(found)
-    inside, outside = ([b for b in found if b[2] is side] for side in (True, False))
-    if not inside:
-        return " ".join(_kept(outside, known))
-    article, rest = _kept(inside, known), _kept(outside, known)
-    return " ".join(rest if sum(map(len, rest)) > TEASER * sum(map(len, article)) else article)
+    inside, outside = ([b for b in found if (b[2] > 0) is side] for side in (True, False))
+    return " ".join(_kept(inside if inside and not _teasers(inside, outside, known) else outside, known))
 
 
-def _kept(region: list[tuple[str, int, bool]], known: bool) -> list[str]:
+def _kept(region: list[tuple[str, int, int]], known: bool) -> list[str]:
     """The second pass: the good blocks of a region."""
     labels = [first_pass(*b, known) for b in region]
     decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]

@@ -51,3 +51,30 @@ def test_html_boilerplate_is_still_refused():
     for name in ("sidebar", "elementor-widget-nav-menu", "widget-area"):
         page = f"<body><div class='c'><p>{ENGLISH}</p></div><div class='{name}'><p>{short * 3}</p></div>{comments}{cards}</body>"
         assert html_text.main_text(page) == ENGLISH.strip(), name
+
+
+LONG = "This is a part of the text of the page that is for all of you to read, and it was written by one of us for the other ones. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><p title=it's>{LONG}</p><p>{LONG}</p></body>", f"{LONG.strip()} {LONG.strip()}"),
+        (f"<body><!--><p>{LONG}</p><!---><p>{LONG}</p><!-- a --!><p>{LONG}</p></body>", " ".join([LONG.strip()] * 3)),
+        (f"<body><form action=x><article><p>{LONG}</p><input name=q></article></form></body>", LONG.strip()),
+        (f"<body><form action=x><div><p>{LONG}</p><select><option>one</select></div></form></body>", LONG.strip()),
+        (f"<body><div class='content share'><p>{LONG}</p></div></body>", LONG.strip()),
+        (f"<body><div class='post-content subscribe'><p>{LONG}</p></div></body>", LONG.strip()),
+        (f"<body><div class='blue share'><p>{LONG}</p></div></body>", LONG.strip()),
+        (f"<body><p>{LONG}</p><div class='row footer'><p>{LONG}</p></div></body>", LONG.strip()),
+        (f"<body><article><p>{LONG}</p></article><section class='talk'>{f'<p>{LONG}</p>' * 9}</section></body>", LONG.strip()),
+        (f"<body><article><p>{LONG}</p></article><section class='discussion'>{f'<p>{LONG}</p>' * 9}</section></body>", LONG.strip()),
+        (f"<body><p>{LONG}</p><div class='user-comments'><p>{LONG}</p></div></body>", LONG.strip()),
+        (f"<body><p><a href=http://x/>{LONG}</a></p><p>{LONG}</p></body>", LONG.strip()),
+        (f"<body>{f'<article><p>{LONG}</p></article>' * 3}<div><p>One text.</p><p>{LONG}x</p><p>{LONG}y</p></div></body>", f"One text. {LONG}x {LONG}y"),
+        (f"<body>{f'<article><p>{LONG}</p><p>{LONG}</p></article>' * 2}<p>{LONG}x</p><p>{LONG}y</p></body>", " ".join([LONG.strip()] * 4)),
+        (f'<body><p data-x = "a>b" title=\'c>d\' x=1>{LONG}</p></body>', LONG.strip()),
+    ],
+)
+def test_html_pages_that_were_lost(page, text):
+    assert html_text.main_text(page) == text
