@@ -11,7 +11,7 @@ from ..functions import bags, grid, images, outcome
 from ..functions import code as code_functions
 from ..functions import text as X
 from ..operators import detail as detail_tables
-from ..operators import execution
+from ..operators import execution, ledger
 from ..sources import capabilities, problem_sets, run_log
 from ..sources import synthetic as S
 from . import reports as R
@@ -692,22 +692,23 @@ def codebleu_udf(spark, sf):
     return S.table(spark, sf, "part").select("p_partkey", F.round(code_functions.codebleu(ref, got), 6).alias("score"))
 
 
-_PROGRAMS = (
-    ("assert f() == 1", "def f():\n    return 1", "Passed"),
-    ("assert f() == 2", "def f():\n    return 1", "AssertionError"),
-    ("assert f() == 1", "def f(:\n    return 1", "SyntaxError"),
-    ("f()", "def f():\n    return {}['a']", "KeyError"),
-    ("f()", "", "EmptyOutput"),
-)
+_BODIES = ("return len(s)", "return len(s) + 1", "return s.count('e')", "return {}[s]", None, "return undefined", "raise ValueError(s)", "return (")
+_OUTCOMES = "CASE p_partkey % 8 WHEN 0 THEN 'Passed' WHEN 1 THEN 'AssertionError' WHEN 2 THEN CASE WHEN length(replace(p_name, 'e', '')) = 0 THEN 'Passed' ELSE 'AssertionError' END WHEN 3 THEN 'KeyError' WHEN 4 THEN 'EmptyOutput' WHEN 5 THEN 'NameError' WHEN 6 THEN 'ValueError' ELSE 'SyntaxError' END"
 
 
-@query()
+@query(f"SELECT p_partkey AS task_id, {_OUTCOMES} AS category FROM part")
 def execute_candidates(spark, sf):
-    """A few fixed programs, run and classified; ``expected`` stands beside."""
-    rows = [(i, "", [test], code, expected) for i, (test, code, expected) in enumerate(_PROGRAMS)]
-    problems = spark.createDataFrame(rows, "task_id long, test_setup_code string, test_list array<string>, code string, expected string")
-    runs = execution.classified(execution.execute(problems, "mbpp", 10.0, allow=True, partitions=2), "mbpp")
-    return runs.select("task_id", "expected", "category")
+    """A candidate for each part, which is to say how long the part's name is: run through a ledger, and classified."""
+    import uuid
+
+    name = code_functions.python_literal(F.col("p_name"))
+    body = F.get(F.array(*[F.lit(b) for b in _BODIES]), (F.col("p_partkey") % len(_BODIES)).cast("int"))
+    code = F.coalesce(F.concat(F.lit("def f(s):\n    "), body), F.lit(""))
+    test = F.concat(F.lit("assert f("), name, F.lit(") == "), F.length("p_name").cast("string"))
+    problems = S.table(spark, sf, "part").select(F.col("p_partkey").alias("task_id"), F.lit("").alias("test_setup_code"), F.array(test).alias("test_list"), code.alias("code"))
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    raw = ledger.execute_table(problems, "mbpp", "task_id", folder, 20.0, seconds=F.length("code") / 100, bins=2 * spark.sparkContext.defaultParallelism, allow=True)
+    return execution.classified(raw, "mbpp").select("task_id", "category")
 
 
 @query()
