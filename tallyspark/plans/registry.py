@@ -12,7 +12,7 @@ from ..functions import code as code_functions
 from ..functions import text as X
 from ..operators import detail as detail_tables
 from ..operators import execution, ledger
-from ..sources import capabilities, problem_sets, run_log
+from ..sources import answers, capabilities, generation, problem_sets, run_log
 from ..sources import synthetic as S
 from . import reports as R
 
@@ -161,6 +161,26 @@ def stream_todo(spark, sf):
     return retry.pending(store)
 
 
+@query(
+    """SELECT concat('m', p.conv_id % 3) AS model, concat(p.conv_id, '/', p.turn) AS task_id, a.text AS raw, len(string_split(a.text, ' ')) AS output_tokens,
+ CASE WHEN a.text IS NULL THEN 'no stored answer' END AS failure
+FROM conversations p LEFT JOIN conversations a ON a.conv_id = p.conv_id AND a.turn = p.turn + 1 AND a.role = 'assistant' WHERE p.role = 'user' AND p.conv_id % 3 <> 0"""
+)
+def replayed_answers(spark, sf):
+    """Two models' prompts with their stored answers, read from the answers' log by its own data source."""
+    import uuid
+
+    model, task = F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")), lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string"))
+    rows = S.table(spark, sf, "conversations")
+    path = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    counts = F.struct(F.lit(0).cast("long").alias("input_tokens"), F.size(F.split("text", " ", -1)).cast("long").alias("output_tokens"))
+    answers.log_answers(rows.filter("role = 'assistant'").select(model.alias("model"), task(F.col("turn") - 1).alias("task_id"), F.col("text").alias("raw"), counts.alias("usage")), path)
+    answers.register(spark)
+    stored = spark.read.format(answers.NAME).option("path", path).load().filter(F.col("model").isin("m1", "m2"))
+    prompts = rows.filter("role = 'user' and conv_id % 3 <> 0").select(model.alias("model"), task(F.col("turn")).alias("task_id"))
+    return generation.replay(prompts, stored, ["model", "task_id"]).select("model", "task_id", "raw", F.col("usage.output_tokens").alias("output_tokens"), "failure")
+
+
 # ---------------------------------------------------------------- reports
 
 

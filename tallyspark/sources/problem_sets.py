@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import LANGUAGES, LIBRARIES
 from ..functions.code import strip_docstrings
 from ..schemas import PROBLEMS
+from . import shared_files
 
 
 def first_rows(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
@@ -55,10 +57,24 @@ def plot2code(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     return df if limit is None else df.filter(F.col("task_id") < limit)
 
 
-def ingest_positions(df: DataFrame, path: str) -> None:
-    """Number the rows of a set once, in their order, and write them: positions must not be made at query time."""
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    df.sparkSession.createDataFrame(numbered, df.schema.add("task_id", "long")).write.mode("overwrite").parquet(path)
+def ingest_positions(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Number the rows of a set once, from 0 and without gaps, in their order or in that of the named columns, and write them: positions must not be made at
+    query time.
+
+    Rows are written with their place in their partition first, so that the partitions' counts and the rows are of one and the same run; sums of
+    the counts, a row a partition, make positions of places. Nothing leaves the JVM and no rows go to one task.
+    """
+    spark, draft, low = df.sparkSession, f"{path}-draft-{uuid.uuid4().hex}", 33  # monotonically_increasing_id: the partition, then 33 bits of place
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(draft)
+    placed = spark.read.schema(placed.schema).parquet(draft).withColumn("_part", F.shiftright("_at", low))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("_part", before.alias("_base"))
+    numbered = placed.join(F.broadcast(bases), "_part").withColumn("task_id", F.col("_base") + F.col("_at").bitwiseAND((1 << low) - 1))
+    numbered.select(*df.columns, "task_id").write.mode("overwrite").parquet(path)
+    shared_files.delete(spark, draft)
 
 
 def multipl_e(spark: SparkSession, path: str, limit: int | None = None, languages: list[str] | None = None) -> DataFrame:
