@@ -1,14 +1,14 @@
 """Quality classifier: supervised subword embeddings, trained by numpy stochastic gradient descent.
 
-A text's features are its words and the n-grams of its words' characters, each hashed to a row of an embedding table, and
-two pseudo-words: one for a word that repeats the word before it, one for any other word. The rows of the words
-are averaged, those of the n-grams are averaged, the sum goes through a linear layer to a softmax over the two labels.
+A text's features are its words, the pairs of words that follow each other and the n-grams of its words' characters, each hashed to a row of an embedding table, and
+an end mark in both groups. The rows of words, pairs and end
+are averaged, those of n-grams and end are averaged, the sum goes through a linear layer to a softmax over the two labels.
 All of it is trained together by stochastic gradient descent on the driver (the table BOOST times as fast as the layer), on a bounded sample: TRAIN rows of each
 label, the first in the order of a hash of doc_id, from rows that aren't held out. As the output layer is linear, the table is
 then folded to one number for each row, and scoring whole texts adds those up; the model that is sent out has
 2 * BUCKETS float32 numbers whatever the corpus.
 
-Nulls: a null text is an empty one, whose score is what the layer's bias gives; labels that are null are no labels; a
+Nulls: a null text is an empty one, whose score is what the end marks and the layer's bias give; labels that are null are no labels; a
 doc_id with several labels counts as bad if one is 0. Without both labels the score is the share of label 1 (0.5 without any).
 Repeated rows give a row each. Empty tables give empty results.
 """
@@ -20,29 +20,29 @@ from pyspark.sql import functions as F
 
 from .common import first_by_hash, held_out, small_batches, spelled, tidied
 
-BUCKETS, DIM, GRAMS, TRAIN, EPOCHS, RATE, BOOST, CUTOFF, SURE, SEED = 1 << 17, 8, (3, 4), 1200, 20, 0.2, 4, 0.7, 0.02, 17
-AGAIN, FRESH = 0, 1  # rows of the pseudo-words
+BUCKETS, DIM, GRAMS, TRAIN, EPOCHS, RATE, BOOST, CUTOFF, SURE, SEED = 1 << 17, 8, (3, 4), 1200, 40, 0.5, 32, 0.7, 0.02, 17
+END = 0  # the end mark's row in its group
 
 
 def features(texts):
-    """(row, text) pairs of all words, and of all n-grams. n-grams have rows of BUCKETS and above."""
+    """(row, text) pairs of all words, pairs and ends, and of all n-grams and ends. n-grams have rows of BUCKETS and above."""
     import numpy as np
 
-    from .hashing import Characters, U, Words
+    from .hashing import Characters, U, Words, mix
 
+    place = lambda h: (h % U(BUCKETS - 1)).astype(np.int64) + 1
+    every, end = np.arange(len(texts)), np.full(len(texts), END)
     words = Words(texts, lower=False)
     hashes = words.hashes(31)
-    row = (hashes % U(BUCKETS - 2)).astype(np.int64) + 2
-    again = np.zeros(len(row), bool)
-    again[1:] = (hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])
-    pseudo = np.where(again, AGAIN, FRESH)
+    together = words.doc[1:] == words.doc[:-1]
+    pairs = mix(hashes[:-1] * U(3) + hashes[1:])[together]
     letters = Characters(texts)
-    rows, docs = [], []
+    rows, docs = [end + BUCKETS], [every]
     for n in GRAMS:
         h, at = letters.grams(n)
-        rows.append((h % U(BUCKETS)).astype(np.int64) + BUCKETS)
+        rows.append(place(h) + BUCKETS)
         docs.append(letters.doc[at])
-    return np.concatenate([row, pseudo]), np.concatenate([words.doc, words.doc]), np.concatenate(rows), np.concatenate(docs)
+    return np.concatenate([end, place(hashes), place(pairs)]), np.concatenate([every, words.doc, words.doc[1:][together]]), np.concatenate(rows), np.concatenate(docs)
 
 
 def _bags(texts):
@@ -62,6 +62,24 @@ def _bags(texts):
     return bags
 
 
+def step(table, layer, bias, rows, w, label: int, rate: float, weight: float) -> None:
+    """One step down the gradient of a text's loss, in place: rows of the table BOOST times as far as the layer and the bias."""
+    import numpy as np
+
+    mean = w @ table[rows]
+    logits = mean @ layer + bias
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    p[label] -= 1
+    if -p[label] < SURE:  # far on the right side: nothing to learn, and the logits stay small
+        return
+    p *= weight * rate
+    back = layer @ p
+    layer -= np.outer(mean, p).astype(layer.dtype)
+    bias -= p.astype(bias.dtype)
+    table[rows] -= (w[:, None] * back[None, :] * BOOST).astype(table.dtype)
+
+
 def train(texts: list[str], labels: list[int]):
     """(one number for each row, bias): the difference of the two labels' logits is their weighted sum plus the bias."""
     import numpy as np
@@ -76,24 +94,12 @@ def train(texts: list[str], labels: list[int]):
     table = rng.uniform(-1 / DIM, 1 / DIM, (2 * BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     weight = np.array([0.5 / (1 - y.mean()), 0.5 / y.mean()])  # both labels count alike
-    steps, done = EPOCHS * len(y), 0
+    of, done = EPOCHS * len(y), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)):
-            rate = RATE * (1 - done / steps)
+            rate = RATE * (1 - done / of)
             done += 1
-            rows, w = bags[i]
-            mean = w @ table[rows]
-            logits = mean @ layer + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            if -p[y[i]] < SURE:  # far on the right side: nothing to learn, and the logits stay small
-                continue
-            p *= weight[y[i]] * rate
-            back = layer @ p
-            layer -= np.outer(mean, p).astype(np.float32)
-            bias -= p.astype(np.float32)
-            table[rows] -= (w[:, None] * back[None, :] * BOOST).astype(np.float32)
+            step(table, layer, bias, *bags[i], y[i], rate, weight[y[i]])
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 

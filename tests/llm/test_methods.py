@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import common, html_text, mixing, neardup, pii, quality_rules, secret_scan, topk
+from tallyspark.llm import common, html_text, mixing, neardup, pii, quality_classifier, quality_rules, secret_scan, topk
 from tallyspark.llm import queries as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -440,3 +440,51 @@ def test_the_base_span_of_an_instance(spark):
     got = {r.i: [x and tuple(x) for x in r.t] for r in df.select("i", pii._touched(F.col("base"), F.col("instances")).alias("t")).collect()}
     for i, base, instances in rows:
         assert got[i] == [next((b for b in base if b[1] < e and b[2] > a), None) for a, e, _, _ in instances], i
+
+
+def test_scores_are_softmaxes_of_averages(spark):
+    """A whole model's scores from plain averages of its vectors, text by text: words, pairs, n-grams and ends counted in Python."""
+    rng = random.Random(14)
+    texts = ["", None, "one", "one two one two", "é \U0001f600 zz", *(" ".join(rng.choice(["ab", "cde", "ü", "fghij"]) for _ in range(rng.randrange(60))) for _ in range(40))]
+    rows = {}
+
+    def row(text, group):  # a feature's row, seen in a text that has no other
+        return rows.setdefault((text, group), [x for x in quality_classifier.features([text])[2 * group].tolist() if x not in (quality_classifier.END, quality_classifier.END + quality_classifier.BUCKETS)])
+
+    folded = np.random.default_rng(1).normal(size=2 * quality_classifier.BUCKETS).astype(np.float32)
+    got = quality_classifier.score_texts(texts, folded, 0.25)
+    for text, score in zip(texts, got, strict=True):
+        words = WORD.findall(text or "")
+        one = [quality_classifier.END]
+        for w in words:
+            one += row(w, 0)
+        for a, b in zip(words, words[1:], strict=False):  # two words make three features: the pair's is the one that isn't theirs
+            left = Counter(quality_classifier.features([f"{a} {b}"])[0].tolist())
+            left.subtract([quality_classifier.END, *row(a, 0), *row(b, 0)])
+            one += [x for x, n in left.items() if n > 0]
+        two = [quality_classifier.END + quality_classifier.BUCKETS]
+        for w in words:
+            two += row(w, 1)
+        assert len(one) == 1 + len(words) + max(0, len(words) - 1) and len(two) == 1 + sum(len(w) + 3 - n for w in words for n in quality_classifier.GRAMS if n < len(w) + 2)
+        logit = sum(float(folded[x]) for x in one) / len(one) + sum(float(folded[x]) for x in two) / len(two) + 0.25
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
+
+
+def test_a_step_goes_down_the_gradient():
+    """Against differences of the loss for each number of the table, the layer and the bias."""
+    rng = np.random.default_rng(2)
+    table, layer, bias = rng.normal(size=(6, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    rows, w, label, small = np.array([0, 2, 5]), np.array([0.5, 1.0, 0.5]), 1, 1e-6
+
+    def loss(t, f, b):
+        logits = w @ t[rows] @ f + b
+        return np.log(np.exp(logits).sum()) - logits[label]
+
+    after = [table.copy(), layer.copy(), bias.copy()]
+    quality_classifier.step(*after, rows, w, label, 0.1, 2.0)
+    for k, (own, new, speed) in enumerate(zip((table, layer, bias), after, (quality_classifier.BOOST, 1, 1), strict=True)):
+        for at in np.ndindex(own.shape):
+            moved = [table.copy(), layer.copy(), bias.copy()]
+            moved[k][at] += small
+            slope = (loss(*moved) - loss(table, layer, bias)) / small
+            assert own[at] - new[at] == pytest.approx(0.2 * speed * slope, abs=1e-4)
