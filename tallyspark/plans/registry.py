@@ -547,10 +547,10 @@ FROM pairs LEFT JOIN common USING (a, b) LEFT JOIN sizes x ON x.doc_id = a LEFT
 )
 def bag_f1_documents(spark, sf):
     """Each document's bag of words against the next one's."""
-    docs = _docs(spark, sf)
-    counted = bags.counted(docs, "doc_id", X.word_tokens("text"))
+    docs = S.dealt(_docs(spark, sf))
+    held = docs.select("doc_id", F.sort_array(X.word_tokens("text")).alias("tokens"))
     pairs = docs.select(F.col("doc_id").alias("a")).join(docs.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b")), "a")
-    return bags.pair_f1(pairs, counted.withColumnRenamed("doc_id", "a"), counted.withColumnRenamed("doc_id", "b"), "a", "b")
+    return bags.pair_f1(pairs, held.withColumnRenamed("doc_id", "a"), held.withColumnRenamed("doc_id", "b"), "a", "b")
 
 
 @query(
@@ -563,7 +563,7 @@ def contamination_overlap(spark, sf):
     """Of each benchmark item, the documents that share words with it, and the words shared: the sum over documents of
     the multiset intersections of both bags."""
     items = S.table(spark, sf, "benchmark").select("item_id", "text")
-    return bags.overlap(items, _docs(spark, sf), "item_id", "doc_id", X.word_tokens("text"))
+    return bags.overlap(items, S.dealt(_docs(spark, sf)), "item_id", "doc_id", X.word_tokens("text"))
 
 
 @query(

@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_TABLE = 32 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of SMALL_TABLE bytes at most, in fewer files than there are cores, dealt to all cores for work that is long for its bytes:
+    each file may be one row group, which only one task can read. Larger tables stay where they are."""
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size <= SMALL_TABLE and len(df.inputFiles()) < cores else df
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     e = table(spark, sf_dir, "events").withColumn("k", k)

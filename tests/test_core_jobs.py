@@ -1,10 +1,14 @@
 """Queries whose SQL twin once had the same cut as they: against brute force in Python, and the twin too."""
 
+import random
 import re
 from collections import Counter
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from tallyspark.functions import bags
 from tallyspark.plans import registry
 
 
@@ -47,3 +51,23 @@ def test_ordered_results(spark, tmp_path):
     got, twin = both(spark, sf, con, "ordered_results")
     assert got == want
     assert sorted(twin) == want
+
+
+@pytest.mark.parametrize("budget", [0, bags.BROADCAST_BYTES])
+def test_bags_against_counters(spark, monkeypatch, budget):
+    monkeypatch.setattr(bags, "BROADCAST_BYTES", budget)
+    monkeypatch.setattr(bags, "BUCKET", 40)
+    draw = random.Random(5)
+    texts = {i: [draw.choice("abcdefghij") for _ in range(draw.choice((0, 1, 7, 40)))] for i in range(60)} | {60: ["a"] * 5000 + ["b"], 61: ["b"] * 3000 + ["a"] * 2}
+    items = {i: [draw.choice("abcdefghijxyz") for _ in range(draw.choice((0, 2, 6)))] for i in range(130)}
+    frame = lambda rows, name: spark.createDataFrame(sorted(rows.items()), f"{name} long, tokens array<string>")
+    got = {r.item: (r.docs, r.shared) for r in bags.overlap(frame(items, "item"), frame(texts, "doc"), "item", "doc", F.col("tokens")).collect()}
+    sizes = {i: [sum((Counter(x) & Counter(t)).values()) for t in texts.values()] for i, x in items.items()}
+    assert got == {i: (sum(n > 0 for n in per), sum(per)) for i, per in sizes.items()}
+    if budget:
+        held = frame(texts, "a").select("a", F.sort_array("tokens").alias("tokens"))
+        pairs = spark.createDataFrame([(a, b) for a in range(62) for b in (a, (a * 7) % 62, 61, 99)], "a long, b long").distinct()
+        for r in bags.pair_f1(pairs, held, held.withColumnRenamed("a", "b"), "a", "b").collect():
+            one, two = Counter(texts[r.a]), Counter(texts.get(r.b, []))
+            common, size = sum((one & two).values()), one.total() + two.total()
+            assert (r.common, r.f1) == (common, round(2 * common / size, 6) if size else 1.0), (r.a, r.b)
