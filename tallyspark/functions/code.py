@@ -30,15 +30,6 @@ def without_docstrings(code: str | None) -> str | None:
     return "\n".join(x for i, x in enumerate(code.splitlines(), 1) if i not in drop) if drop else code
 
 
-def balanced(body: str | None) -> str | None:
-    """Closing braces beyond the opening ones are dropped from the end."""
-    if body is None:
-        return None
-    surplus = body.count("}") - body.count("{")
-    parts = body.rsplit("}", surplus) if surplus > 0 else [body]
-    return "".join(parts).rstrip()
-
-
 def reindented(code: str | None, indent: int | None) -> str | None:
     if code is None or indent is None or not code.strip():
         return code
@@ -54,11 +45,6 @@ def strip_docstrings(code: pd.Series) -> pd.Series:
     return _each(without_docstrings, code)
 
 
-@F.pandas_udf(T.StringType())
-def balance_braces(code: pd.Series) -> pd.Series:
-    return _each(balanced, code)
-
-
 @F.pandas_udf(T.StringType())
 def reindent(code: pd.Series, indent: pd.Series) -> pd.Series:
     return _each(reindented, code, indent)

@@ -168,6 +168,19 @@ def joined(x) -> Column:
     return F.array_join(c(x), "\n")
 
 
+#: All characters that Python takes for white space.
+BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def balance_braces(x) -> Column:
+    """Closing braces beyond the opening ones are dropped from the end, and white space at the end."""
+    count = lambda brace: F.length(c(x)) - F.length(F.replace(c(x), F.lit(brace)))
+    surplus, parts = F.greatest(count("}") - count("{"), F.lit(0)), F.split(c(x), "[}]")
+    kept = F.size(parts) - surplus
+    whole = F.concat(F.array_join(F.slice(parts, F.lit(1), kept), "}"), F.array_join(F.slice(parts, kept + 1, surplus), ""))
+    return F.rtrim(whole, F.lit(BLANKS))
+
+
 def package_base(x) -> Column:
     return F.regexp_replace(F.regexp_extract(c(x), r"(?m)^package\s+(\w+)", 1), "_test$", "")
 

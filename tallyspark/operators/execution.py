@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import BRACE_LANGUAGES, INTERPRETERS, STDERR_TAIL
-from ..functions.code import balance_braces, python_literal, reindent
+from ..functions.code import python_literal, reindent
 from ..functions.outcome import category
-from ..functions.text import import_header, insert_indent, rstrip, strip, strip_echo, tail
+from ..functions.text import balance_braces, import_header, insert_indent, rstrip, strip, strip_echo, tail
 from ..sources.capabilities import newest, tool as which
 
 RAW = "rc int, timed_out boolean, out string, err string, artifact_bytes long, missing boolean, compile_failed boolean"

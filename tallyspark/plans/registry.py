@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bags, grid, images, outcome
+from ..functions import bags, grid, images, lines, outcome
 from ..functions import code as code_functions
 from ..functions import text as X
 from ..operators import detail as detail_tables
 from ..operators import execution, ledger
-from ..sources import answers, capabilities, generation, problem_sets, run_log
+from ..sources import answers, capabilities, generation, nested, problem_sets, run_log
 from ..sources import synthetic as S
 from . import reports as R
 
@@ -691,6 +691,72 @@ for _benchmark in ("humaneval", "mbpp", "ds1000", "plot2code", "multipl-e"):
     query(_detail_sql(_benchmark))(_detail(_benchmark))
 
 
+# ---------------------------------------------------------------- braces, lines, documents without a schema
+
+_BLANKS = " || ".join(f"chr({ord(b)})" for b in X.BLANKS)
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, translate(text, 'ea', '{{}}') AS body FROM documents),
+p AS (SELECT doc_id, body, string_split(body, '}}') AS parts, CAST(length(replace(body, '{{', '')) - length(replace(body, '}}', '')) AS BIGINT) AS surplus FROM b)
+SELECT doc_id, greatest(surplus, 0) AS dropped,
+    md5(rtrim(CASE WHEN surplus > 0 THEN concat(array_to_string(parts[1:len(parts) - surplus], '}}'), array_to_string(parts[len(parts) - surplus + 1:], '')) ELSE body END, {_BLANKS})) AS code_md5 FROM p"""
+)
+def brace_balance_documents(spark, sf):
+    """Every text with braces in the place of two letters, brought into balance."""
+    body = _docs(spark, sf).select("doc_id", F.translate("text", "ea", "{}").alias("body"))
+    made = body.select("doc_id", "body", X.balance_braces("body").alias("code"))
+    count = lambda x: F.length(F.regexp_replace(x, "[^}]", "")).cast("long")
+    return made.select("doc_id", (count("body") - count("code")).alias("dropped"), F.md5("code").alias("code_md5"))
+
+
+_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, replace(translate(text, 'qxz', chr(11) || chr(133) || chr(8232)), 'k', chr(13) || chr(10)) AS text FROM documents),
+p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+')) AS piece, generate_subscripts(regexp_extract_all(text, '[^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+'), 1) - 1 AS line_no FROM d)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY line_no) - length(piece) AS BIGINT) AS start, md5(regexp_replace(piece, '(\r\n|[{_ENDS}])$', '')) AS line_md5 FROM p"""
+)
+def document_lines(spark, sf):
+    """The lines of every text, with line ends of several kinds in the place of some letters."""
+    text = F.replace(F.translate("text", "qxz", "\x0b\x85\u2028"), F.lit("k"), F.lit("\r\n"))
+    found = lines.text_lines(_docs(spark, sf).select("doc_id", text.alias("text")), "text", "doc_id")
+    return found.select("doc_id", "line_no", "start", F.md5("line").alias("line_md5"))
+
+
+_EVENT_JSON = """j AS (
+    SELECT event_id, CASE WHEN json_valid(x) THEN x END AS j FROM (
+        SELECT event_id, CASE WHEN event_id % 7 = 0 THEN rtrim(props, '}') WHEN event_id % 5 = 0 THEN concat('{"who": {"id": "n/d"}, "props": ', props, '}')
+            ELSE concat('{"props": ', props, ', "who": {"id": ', user_id, '}, "tags": ["', event_type, '", ', CAST(floor(value) AS BIGINT), ', null]}') END AS x FROM events) t
+)"""
+
+
+def _event_documents(spark, sf):
+    """event_id, document: of each event; some are broken, some have no tags and no number of a user."""
+    whole = F.concat(F.lit('{"props": '), "props", F.lit(', "who": {"id": '), "user_id", F.lit('}, "tags": ["'), "event_type", F.lit('", '), F.floor("value").cast("long").cast("string"), F.lit(", null]}"))
+    odd = F.concat(F.lit('{"who": {"id": "n/d"}, "props": '), "props", F.lit("}"))
+    text = F.when(F.col("event_id") % 7 == 0, F.rtrim("props", F.lit("}"))).when(F.col("event_id") % 5 == 0, odd).otherwise(whole)
+    return S.table(spark, sf, "events").select("event_id", nested.parsed(text).alias("document"))
+
+
+@query(f"WITH {_EVENT_JSON} SELECT event_id, j IS NOT NULL AS valid, CAST(json_extract_string(j, '$.props.k') AS BIGINT) AS k, try_cast(json_extract_string(j, '$.who.id') AS BIGINT) AS who FROM j")
+def event_fields(spark, sf):
+    """Fields of documents without a schema, as typed columns."""
+    typed = nested.shredded(_event_documents(spark, sf), "document", {"k": ("$.props.k", "bigint"), "who": ("$.who.id", "bigint")})
+    return typed.select("event_id", F.col("document").isNotNull().alias("valid"), "k", "who")
+
+
+@query(
+    f"WITH {_EVENT_JSON}, t AS (SELECT event_id, j, unnest(range(CAST(json_array_length(j, '$.tags') AS BIGINT))) AS tag_no FROM j)"
+    " SELECT event_id, tag_no, tag FROM j LEFT JOIN (SELECT event_id, tag_no, json_extract_string(j, concat('$.tags[', tag_no, ']')) AS tag FROM t) u USING (event_id)"
+)
+def event_tags(spark, sf):
+    """Each tag of each document, in its order; documents without tags have one row."""
+    tags = nested.members(_event_documents(spark, sf), nested.field("document", "$.tags", "variant"), "tag_no", "_key", "_tag", keep_empty=True)
+    return tags.select("event_id", F.col("tag_no").cast("long").alias("tag_no"), nested.field("_tag", "$").alias("tag"))
+
+
 # ---------------------------------------------------------------- what SQL can't say
 
 
@@ -700,9 +766,9 @@ def strip_docstrings(spark, sf):
     return S.table(spark, sf, "part").select("p_partkey", code_functions.strip_docstrings(program).alias("code"))
 
 
-@query()
+@query("SELECT p_partkey, 'if (x) { y(); }' AS code FROM part")
 def brace_balance(spark, sf):
-    return S.table(spark, sf, "part").select("p_partkey", code_functions.balance_braces(F.concat(F.lit("if (x) { y(); }"), F.repeat(F.lit("}"), F.col("p_size") % 3))).alias("code"))
+    return S.table(spark, sf, "part").select("p_partkey", X.balance_braces(F.concat(F.lit("if (x) { y(); }"), F.repeat(F.lit("}"), F.col("p_size") % 3))).alias("code"))
 
 
 @query()

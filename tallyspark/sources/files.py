@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chart_name
+from . import nested
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
@@ -45,8 +46,5 @@ def export_charts(spark: SparkSession, notebook: str, folder: str) -> DataFrame:
 
 def notebook_images(spark: SparkSession, path: str) -> DataFrame:
     """name, content of each picture that a notebook's tracked cells show."""
-    cell = "cells array<struct<source:array<string>,outputs:array<struct<data:map<string,string>>>>>"
-    book = spark.read.schema(cell).option("multiLine", True).json(path)
-    shown = book.select(F.explode("cells").alias("cell")).select(F.array_join("cell.source", "").alias("source"), F.explode("cell.outputs").alias("o"))
-    coded = shown.select(chart_name("source").alias("name"), F.try_element_at("o.data", F.lit("image/png")).alias("png"))
-    return coded.filter("name is not null and png is not null").select("name", F.unbase64(F.regexp_replace("png", r'[\s"\\\[\]]|\\n', "")).alias("content"))
+    shown = nested.notebook_outputs(nested.notebook_cells(spark, path)).filter("mime = 'image/png'")
+    return shown.select(chart_name("source").alias("name"), F.unbase64(F.regexp_replace("content", r"\s", "")).alias("content")).filter("name is not null and content is not null")

@@ -65,7 +65,6 @@ def test_code_functions():
     assert code.without_docstrings("def f():\n    '''d'''\n    return 1") == "def f():\n    return 1"
     assert code.without_docstrings("def f():\n    '''only'''") == "def f():\n    '''only'''"
     assert code.without_docstrings("def f(:") == "def f(:"
-    assert code.balanced("a { b } } }\n") == "a { b }"
     assert code.reindented("  x\n    y", 4) == "    x\n      y"
     ref = "def f(a):\n    b = a + 1\n    return b\n"
     assert code.code_similarity(ref, ref) == pytest.approx(1.0)
