@@ -250,12 +250,24 @@ def _whole_sets(nodes: DataFrame, docs: DataFrame, width: int, label: str) -> Da
     return materialize(texts.mapInPandas(tidied(_sets(width)), "node long, shingles binary"), f"{label}-sets")
 
 
+def _by_leader(pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    """A written table of pairs a (a leader), b with what ``one`` has of a and ``two`` of b, a row for each. Leaders of more than HOT pairs,
+    of which there are at most pairs / HOT, are broadcast where they fit, else salted, so that none is a task of its own."""
+    hot = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("a"), "neardup-hot-leaders")
+    if not hot.limit(1).count():
+        return pairs.join(one, "a").join(two, "b")
+    few = small_or_plain(hot)
+    held = materialize(one.join(few, "a"), "neardup-hot-leaders")
+    led = attached(pairs.join(few, "a", "left_semi").join(two, "b"), held, "a")
+    return led.unionByName(pairs.join(few, "a", "left_anti").join(one, "a").join(two, "b"))
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """The pairs a, b that are linked, on the whole sets of both. An id with several texts is linked if one of them is."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     sets = _whole_sets(nodes, docs, width, "neardup-led")
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "s1"), ("b", "s2")))
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "s1", "s2")
+    joined = _by_leader(pairs, first, second).select("a", "b", "s1", "s2")
     return materialize(joined.mapInPandas(tidied(_confirmed(threshold)), "a long, b long"), "neardup-led")
 
 
@@ -319,11 +331,12 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, threshold: int) -> tupl
     """Confirmed links a, b between classes, enough of them for the components of all links of all buckets, and these components."""
     members = _members(reps)
     pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = materialize(pairs, "neardup-led-pairs")
     one, two = (reps.select(F.col("node").alias(c), F.col("sketch").alias(s)) for c, s in (("a", "k1"), ("b", "k2")))
     differing = F.aggregate(F.zip_with("k1", "k2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = materialize(pairs.join(one, "a").join(two, "b").filter(differing <= most_differing(threshold)).select("a", "b"), "neardup-near")
+    near = materialize(_by_leader(pairs, one, two).filter(differing <= most_differing(threshold)).select("a", "b"), "neardup-near")
     led = _confirm(near, docs, width, threshold)
-    discard(near)
+    discard(pairs, near)
     first = components(led, "neardup-first")
     across = _across(members, reps, first, docs, width, threshold)
     links = led.union(across)

@@ -374,6 +374,33 @@ def test_hot_classes_and_large_ids_beside_nulls(spark, monkeypatch):
     assert got == Counter([(low + i, low, i == 0) for i in range(20)] + [(None, None, True)] * 2 + [(low + 50, low + 50, True)])
 
 
+@pytest.mark.parametrize("budget", [0, common.BROADCAST_BYTES])
+def test_hot_leaders_against_brute_force(spark, monkeypatch, budget):
+    """Two large groups of near copies, whose leaders are joined apart, and texts that are near to nothing."""
+    monkeypatch.setattr(neardup, "HOT", 5)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", budget)
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(9999)}" for _ in range(n)] for n in (60, 90)]
+    texts = []
+    for base in bases:
+        for _ in range(70):
+            words = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(99999)}"
+            texts.append(words)
+    texts += [[f"y{rng.randrange(9999)}" for _ in range(40)] for _ in range(20)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in texts]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), 4).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_pipeline_keeps_different_texts_of_one_id(spark):
     one, two = "one text of the five words and more of them", "quite other words stand here in this one text"
     rows = [(5, one), (5, two), (5, two.replace("quite", "Quite  ")), (5, one), (-7, "a negative id is fine as it is here"), (8, two)]
