@@ -78,8 +78,14 @@ def bytes_of(df: DataFrame) -> int:
 
 
 def small_or_plain(df: DataFrame) -> DataFrame:
-    """A written table, with a broadcast hint if its bytes are within BROADCAST_BYTES."""
-    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
+    """A written table, with a broadcast hint if its bytes are within BROADCAST_BYTES, else with one against it."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A table that its join must not broadcast: Spark goes by the bytes of its files, which say little of those of its rows, and
+    nothing of what an explode makes of them."""
+    return df.hint("merge")
 
 
 def attached(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -88,7 +94,8 @@ def attached(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> D
     if bytes_of(few) <= BROADCAST_BYTES:
         return many.join(F.broadcast(few), key, how)
     salted = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)))
-    return salted.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "_salt"], how).drop("_salt")
+    each = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(shuffled(each), [key, "_salt"], how).drop("_salt")
 
 
 BATCH_ROWS, READ_ROWS = "1000", "512"

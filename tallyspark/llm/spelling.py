@@ -14,7 +14,7 @@ by the first PREFIX code points, and that of the words spelled backwards by the
    grows by that factor along forms, so roots are reached by following them twice as far in each of a few rounds.
 
 The vocabulary is counted in each task before it is dealt by word, so frequent words cost a row a task. Only the vocabulary's own tables are joined; followers of a
-frequent root by ``common.attached``.
+frequent root by ``common.attached``. The driver holds none of them but what ``attached`` has counted small: the other joins are hinted to shuffle.
 
 Null and empty texts have no words. Rows that repeat an id count as texts of their own. A null doc_id changes no run. Empty tables give empty results. Other columns are ignored.
 """
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attached, discard, materialize, small_or_plain
+from .common import attached, discard, materialize, shuffled, small_or_plain
 
 LETTERS = r"A-Za-zÀ-ÿ"
 PREFIX, LEAST_LENGTH, LEAST_COUNT, FACTOR, MOST = 3, 6, 5, 5, 4096
@@ -148,10 +148,10 @@ def _across(cut: DataFrame, backwards: bool) -> DataFrame:
     deep = cut.filter(F.col("depth") > PREFIX).select("spelled", "word", "n", "depth")
     each = materialize(deep.withColumn("i", F.explode(places)).select("word", "n", "i", without(F.col("i")).alias("rest"), (letter(F.col("i")) != letter(F.col("i") + 1)).alias("last")), "spelling-cut")
     as_near = lambda d: d.select(*[F.col(c).alias({"word": "near", "n": "near_n"}.get(c, c)) for c in d.columns])
-    replaced = each.select("word", "n", "i", "rest").join(as_near(each.select("word", "n", "i", "rest")), ["i", "rest"]).filter("word <> near").select("word", "near", "near_n")
+    replaced = each.select("word", "n", "i", "rest").join(shuffled(as_near(each.select("word", "n", "i", "rest"))), ["i", "rest"]).filter("word <> near").select("word", "near", "near_n")
     # the longer one without the letter at the end of a stretch of equal letters is the shorter one: once for each pair
     longer, shorter = each.filter("last").select("word", "n", "rest"), deep.select("word", "n", F.col("spelled").alias("rest"))
-    inserted = longer.join(as_near(shorter), "rest").select("word", "near", "near_n").union(shorter.join(as_near(longer), "rest").select("word", "near", "near_n"))
+    inserted = longer.join(shuffled(as_near(shorter)), "rest").select("word", "near", "near_n").union(shorter.join(shuffled(as_near(longer)), "rest").select("word", "near", "near_n"))
     found = replaced.union(inserted)
     return found.filter(F.substring("word", 1, PREFIX) != F.substring("near", 1, PREFIX)) if backwards else found
 
@@ -192,9 +192,9 @@ def variants(docs: DataFrame, change: bool = False, most: int = MOST) -> DataFra
     words = materialize(vocabulary(docs, change), "spelling-words")
     best = F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("near")))
     near = materialize(near_words(words, most).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best")), "spelling-near")
-    of = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.n")).alias("near_n"))
+    of = words.join(shuffled(near), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.n")).alias("near_n"))
     larger = F.col("near_n") >= FACTOR * F.col("n")
     of = materialize(of.select("word", "n", "n_near", F.when(larger, F.col("near")).alias("form"), F.when(larger, F.col("near_n")).alias("form_n")), "spelling-forms")
     roots = _roots(of.filter("form is not null").select("word", "form"))
     discard(words, near)
-    return of.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return of.join(shuffled(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import periodic, spelling, warc
+from tallyspark.llm import common, periodic, spelling, warc
 from tallyspark.llm.common import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -273,3 +273,18 @@ def test_pairs_of_a_hot_prefix(spark):
         want[w] = (want[w] & own) - {w}
     got = spelling.near_words(table, most=20).groupBy("word").agg(F.collect_list("near").alias("near")).collect()
     assert {r.word: sorted(r.near) for r in got} == {w: sorted(v) for w, v in want.items() if v}
+
+
+def test_no_vocabulary_table_reaches_the_driver_by_the_size_of_its_files(spark, tmp_path, monkeypatch):
+    """Tables counted beyond the bound are shuffled, though their files are small; so are the salted copies of their rows."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
+    spark.createDataFrame([(f"w{i}", f"w{i // 3}") for i in range(100)], "word string, root string").write.parquet(str(tmp_path / "roots"))
+    roots = spark.read.parquet(str(tmp_path / "roots"))
+    onward = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
+    moved = common.attached(roots, onward, "root", "left")
+    assert "Broadcast" not in moved._jdf.queryExecution().executedPlan().toString()
+    assert {r.word: r.further for r in moved.collect()} == {f"w{i}": f"w{i // 9}" for i in range(100)}
+    one_side = roots.join(common.small_or_plain(onward.select("root")), "root", "left_anti")
+    assert "Broadcast" not in one_side._jdf.queryExecution().executedPlan().toString() and one_side.count() == 0
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1 << 20)
+    assert "Broadcast" in common.attached(roots, onward, "root", "left")._jdf.queryExecution().executedPlan().toString()
