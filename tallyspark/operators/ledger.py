@@ -14,6 +14,8 @@ Interpreter. A worker starts one Python process that only forks: each candidate
 can do there.
 
 Candidates without a key (null) or with a key that repeats are all run and logged by key and program: two rows that agree in both are one candidate.
+With ``once``, rows of different keys that have the same program are one candidate too: it is run once and all of them have its outcome. That is for programs
+whose outcome follows from their text, as those of a benchmark should; where it hangs on chance, time or what others have left, leave it off.
 """
 
 from __future__ import annotations
@@ -39,9 +41,16 @@ NAMES = [x.split()[0] for x in RAW.split(", ")]
 
 # reads a line (folder, limit in seconds), answers a line (exit code or null)
 _FORKS = f"""
-import json, os, resource, runpy, signal, sys, time
+import gc, json, linecache, os, resource, select, signal, sys, time, tokenize, traceback, types
+try:
+    raise ValueError
+except ValueError:
+    traceback.format_exc()  # what the first one loads is loaded here, not in each fork
 keep = os.dup(1)
 os.dup2(os.open(os.devnull, os.O_WRONLY), 1)
+linecache.clearcache()
+gc.collect()
+gc.freeze()  # a fork's collections touch, and so copy, none of this
 for line in sys.stdin:
     folder, limit = json.loads(line)
     child = os.fork()
@@ -59,14 +68,17 @@ for line in sys.stdin:
             resource.setrlimit(resource.RLIMIT_AS, ({MEMORY}, {MEMORY}))
             resource.setrlimit(resource.RLIMIT_FSIZE, ({FILES}, {FILES}))
             code = 0
+            main = sys.modules['__main__'] = types.ModuleType('__main__')
+            main.__dict__.update(__file__='program.py', __builtins__=__builtins__, __cached__=None)
             try:
-                runpy.run_path('program.py', run_name='__main__')
+                with open('program.py', 'rb') as f:
+                    text = f.read()
+                exec(compile(text, 'program.py', 'exec', dont_inherit=True), main.__dict__)
             except SystemExit as e:
                 code = e.code if isinstance(e.code, int) else 0 if e.code is None else 1
                 if code == 1 and not isinstance(e.code, int):
                     print(e.code, file=sys.stderr)
             except BaseException:
-                import traceback
                 traceback.print_exc()
                 code = 1
             sys.stdout.flush()
@@ -74,21 +86,18 @@ for line in sys.stdin:
         except BaseException:
             code = 1
         os._exit(code & 255)
-    end, code = time.monotonic() + limit, None
-    while True:
-        done, status = os.waitpid(child, os.WNOHANG)
-        if done:
-            code = os.waitstatus_to_exitcode(status)
-            break
-        if time.monotonic() >= end:
-            break
-        time.sleep(0.001)
+    code, ended = None, select.poll()
+    seen = os.pidfd_open(child)
+    ended.register(seen, select.POLLIN)
+    in_time = ended.poll(1000 * limit)
+    os.close(seen)
     try:
-        os.killpg(child, signal.SIGKILL)
+        os.killpg(child, signal.SIGKILL)  # not waited for yet: nobody else has its number
     except (ProcessLookupError, PermissionError):
         pass
-    if code is None:
-        os.waitpid(child, 0)
+    status = os.waitpid(child, 0)[1]
+    if in_time:
+        code = os.waitstatus_to_exitcode(status)
     os.write(keep, (json.dumps(code) + chr(10)).encode())
 """
 
@@ -194,19 +203,27 @@ def dealt(rows: DataFrame, seconds: Column, key: Column, bins: int | None = None
     return joined.drop("_class", "_length", "_sum", "_before", "_all")
 
 
-def execute_table(problems: DataFrame, benchmark: str, key: str, folder: str, timeout: float, seconds: Column | None = None, bins: int = 64, allow: bool = False, flush: float = FLUSH, jars: str | None = None) -> DataFrame:
+def execute_table(problems: DataFrame, benchmark: str, key: str, folder: str, timeout: float, seconds: Column | None = None, bins: int = 64, allow: bool = False, flush: float = FLUSH, jars: str | None = None, once: bool = False) -> DataFrame:
     """The rows with the RAW columns of their candidate's run, as ``execution.execute`` gives them; folder: the ledger's, the same for a run and its repeats.
 
-    seconds: the expected ones, a column (of a former ledger, or a length); all alike without it. bins: tasks.
+    seconds: the expected ones, a column (of a former ledger, or a length); all alike without it. bins: tasks. once: equal programs are run once.
     """
     if not allow:
         raise PermissionError("running candidates runs untrusted code: pass allow=True")
     language = F.col("language") if benchmark == "multipl-e" else F.lit("python")
     given = problems.withColumns({"_language": language, "_program": program(benchmark)})
-    name = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.sha2("_program", 256))
-    given = dealt(given.withColumn("_name", name), seconds if seconds is not None else F.lit(1.0), F.col("_name"), bins)
+    expected = seconds if seconds is not None else F.lit(1.0)
+    if once:
+        given = given.withColumn("_same", F.sha2(F.to_json(F.struct("_language", "_program", F.coalesce("code", F.lit("")))), 256))
+        texts = [F.first(c).alias(c) for c in ("_language", "_program", "code")]  # the same in all of them
+        rows, given = given.drop("_language", "_program"), given.withColumn("_expected", expected).groupBy("_same").agg(*texts, F.max("_expected").alias("_expected"))
+        name, expected, schema = F.concat(F.lit(":"), F.col("_same")), F.col("_expected"), "_same string, code string, _expected " + dict(given.dtypes)["_expected"]
+        given = given.select("_same", "code", "_expected", "_language", "_program")
+    else:
+        name = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.sha2("_program", 256))
+        schema = problems.schema.simpleString()[len("struct<") : -1]
+    given = dealt(given.withColumn("_name", name), expected, F.col("_name"), bins)
     given = given.repartitionById(bins, F.col("_bin"))
-    schema = problems.schema.simpleString()[len("struct<") : -1]
 
     def run(batches):
         forks, ledgers, logged = Forks(), {}, {}
@@ -233,7 +250,12 @@ def execute_table(problems: DataFrame, benchmark: str, key: str, folder: str, ti
             for ledger in ledgers.values():
                 ledger.write()
 
-    return given.mapInPandas(run, f"{schema}, {RAW}")
+    ran = given.mapInPandas(run, f"{schema}, {RAW}")
+    if not once:
+        return ran
+    joined = rows.join(ran.drop("code", "_expected").withColumn("_ran", F.lit(True)), "_same", "left")
+    lost = F.raise_error(F.lit("a row was not there when the table was read for its programs"))
+    return joined.withColumn("timed_out", F.when(F.col("_ran"), F.col("timed_out")).otherwise(lost)).drop("_same", "_ran")
 
 
 def finished(spark, folder: str) -> DataFrame:

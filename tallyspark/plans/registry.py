@@ -791,9 +791,9 @@ def execute_candidates(spark, sf):
     body = F.get(F.array(*[F.lit(b) for b in _BODIES]), (F.col("p_partkey") % len(_BODIES)).cast("int"))
     code = F.coalesce(F.concat(F.lit("def f(s):\n    "), body), F.lit(""))
     test = F.concat(F.lit("assert f("), name, F.lit(") == "), F.length("p_name").cast("string"))
-    problems = S.table(spark, sf, "part").select(F.col("p_partkey").alias("task_id"), F.lit("").alias("test_setup_code"), F.array(test).alias("test_list"), code.alias("code"))
+    problems = S.dealt(S.table(spark, sf, "part")).select(F.col("p_partkey").alias("task_id"), F.lit("").alias("test_setup_code"), F.array(test).alias("test_list"), code.alias("code"))
     folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
-    raw = ledger.execute_table(problems, "mbpp", "task_id", folder, 20.0, seconds=F.length("code") / 100, bins=2 * spark.sparkContext.defaultParallelism, allow=True)
+    raw = ledger.execute_table(problems, "mbpp", "task_id", folder, 20.0, seconds=F.length("code") / 100, bins=2 * spark.sparkContext.defaultParallelism, allow=True, once=True)
     return execution.classified(raw, "mbpp").select("task_id", "category")
 
 

@@ -88,3 +88,17 @@ def test_names_in_programs(spark):
     names = ["it's", 'a "b"', "back\\slash", "é\n"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [eval(r.x) for r in df.select(python_literal(F.col("n")).alias("x")).collect()] == names  # noqa: S307
+
+
+def test_equal_programs_are_run_once(spark, tmp_path):
+    """Each run leaves a mark: as many as there are programs, while every row, of every key, has its outcome."""
+    code = lambda i: f"import os\nwith open({str(tmp_path / 'marks')!r}, 'a') as f:\n    f.write('{i}')\ndef f():\n    return {i}"
+    df = problems(spark, [code(i % 3) for i in range(60)] + ["", None, " "])
+    raw = ledger.execute_table(df, "mbpp", "task_id", str(tmp_path / "l"), 9.0, bins=4, allow=True, once=True)
+    assert set(raw.columns) == {*df.columns, *ledger.NAMES}
+    got = {r.task_id: r.rc for r in raw.collect()}
+    assert got == {i: int(i % 3 != 1) for i in range(60)} | {60: None, 61: None, 62: None}
+    assert sorted((tmp_path / "marks").read_text()) == ["0", "1", "2"]
+    # by itself each row is still run where that is not asked for
+    assert ledger.execute_table(df, "mbpp", "task_id", str(tmp_path / "each"), 9.0, bins=4, allow=True).count() == 63
+    assert len((tmp_path / "marks").read_text()) == 63
