@@ -1,6 +1,7 @@
 """Which tasks are to be run again, as a stream with bounded state.
 
-A key's state is its last attempt: number, category and how many infrastructure failures came in a row. Timers in processing time end it: a key whose last
+A key's state is its last attempt: number, category and how many infrastructure failures came in a row. Keys are dealt to BUCKETS by their hash, and a bucket's
+keys are read, changed and written together: a key costs a dictionary's entry, not calls to the state store. Timers in processing time end it: a key whose last
 attempt has a result is forgotten KEEP after it, so state holds the keys of that time and those that wait. A key whose last attempt failed for
 reasons of the infrastructure stays, and its timer, at FIRST and twice as long after each further failure, asks for the next attempt.
 
@@ -22,61 +23,103 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .store import RecordStore
 
 INFRASTRUCTURE = "APIError"
+BUCKETS, WHOLE = 4096, ("tinyint", "smallint", "int", "bigint")
 KEEP_MS, FIRST_MS, LONGEST_MS = 3_600_000, 60_000, 6 * 3_600_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "seq long, category string, pending boolean, asked boolean"
 
 
 class Retry(StatefulProcessor):
-    def __init__(self, keys: list[str], keep_ms: int, first_ms: int, longest_ms: int):
-        self.keys, self.keep_ms, self.first_ms, self.longest_ms = keys, keep_ms, first_ms, longest_ms
+    """All keys of one bucket at a time: its state is a list of the keys that are open, its one timer the earliest of theirs."""
+
+    def __init__(self, keys: list[str], kinds: dict[str, str], keep_ms: int, first_ms: int, longest_ms: int):
+        self.keys, self.kinds, self.keep_ms, self.first_ms, self.longest_ms = keys, kinds, keep_ms, first_ms, longest_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "seq long, category string, failures int, due long")
-
-    def _out(self, key, seq, category, asked) -> pd.DataFrame:
-        row = [*key, seq, category, category == INFRASTRUCTURE, asked]
-        return pd.DataFrame([row], columns=[*self.keys, *(x.split()[0] for x in OUT.split(", "))])
+        self.open = handle.getListState("open", ", ".join([*(f"{k} {self.kinds[k]}" for k in self.keys), "seq long, category string, failures int, due long"]))
+
+    def _held(self) -> dict[tuple, tuple]:
+        """key -> (seq, category, failures, due)."""
+        n = len(self.keys)
+        return {row[:n]: row[n:] for row in self.open.get()} if self.open.exists() else {}
+
+    def _hold(self, held: dict[tuple, tuple], timer: int | None) -> None:
+        """Write the open keys; timer: the one that is set."""
+        self.open.put([key + of for key, of in held.items()]) if held else self.open.clear()
+        due = min((of[3] for of in held.values() if of[3] >= 0), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+    def _out(self, rows: list[tuple], asked: bool) -> pd.DataFrame:
+        """rows: key, seq, category."""
+        out = pd.DataFrame(rows, columns=[*self.keys, "seq", "category"], dtype=object)
+        out["seq"] = out["seq"].astype("int64")
+        out["pending"], out["asked"] = [r[-1] == INFRASTRUCTURE for r in rows], asked
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tries = pd.concat(list(rows))[["seq", "category"]].sort_values("seq")
-        before = self.last.get() if self.last.exists() else None
-        if before is not None:
-            tries = tries[tries["seq"] > before[0]]
-        if not len(tries):
-            return
-        failures = before[2] if before is not None else 0
-        for category in tries["category"]:
-            failures = failures + 1 if category == INFRASTRUCTURE else 0
-        seq, category = int(tries["seq"].iloc[-1]), tries["category"].iloc[-1]
-        wait = min(self.first_ms * 2 ** min(failures - 1, 30), self.longest_ms) if failures else self.keep_ms
-        due = timerValues.getCurrentProcessingTimeInMs() + wait
-        if before is not None and before[3] >= 0:
-            self.handle.deleteTimer(before[3])
-        self.handle.registerTimer(due)
-        self.last.update((seq, category, failures, due))
-        yield self._out(key, seq, category, False)
+        held, now = self._held(), timerValues.getCurrentProcessingTimeInMs()
+        timer = min((of[3] for of in held.values() if of[3] >= 0), default=None)
+        plain = [_whole if self.kinds[k] in WHOLE else _plain for k in self.keys]
+        # (seq, category), first to last, of each key
+        tries: dict[tuple, list] = {}
+        for frame in rows:
+            for *own, seq, category in zip(*(frame[c].tolist() for c in [*self.keys, "seq", "category"]), strict=True):
+                tries.setdefault(tuple(as_held(x) for as_held, x in zip(plain, own, strict=True)), []).append((int(seq), category))
+        changed = []
+        for own, given in tries.items():
+            before = held.get(own)
+            given = [t for t in given if t[0] > before[0]] if before else given
+            if not given:
+                continue
+            given.sort(key=lambda t: t[0])
+            failures = before[2] if before else 0
+            for _, category in given:
+                failures = failures + 1 if category == INFRASTRUCTURE else 0
+            wait = min(self.first_ms * 2 ** min(failures - 1, 30), self.longest_ms) if failures else self.keep_ms
+            held[own] = (*given[-1], failures, now + wait)
+            changed.append((*own, *given[-1]))
+        if changed:
+            self._hold(held, timer)
+            yield self._out(changed, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.last.exists():
-            return
-        seq, category, failures, due = self.last.get()
-        if due != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        if not failures:
-            self.last.clear()
-            return
-        self.last.update((seq, category, failures, -1))  # it waits for the attempt that is asked for now
-        yield self._out(key, seq, category, True)
-
-
-def retries(attempts: DataFrame, keys: list[str], keep_ms: int = KEEP_MS, first_ms: int = FIRST_MS, longest_ms: int = LONGEST_MS) -> DataFrame:
-    """A stream of attempts (keys, seq, category) to the stream of rows out."""
+        held, now, asked = self._held(), expiredTimerInfo.getExpiryTimeInMs(), []
+        now = max(now, timerValues.getCurrentProcessingTimeInMs() - 1)  # all that are due
+        for own, (seq, category, failures, due) in list(held.items()):
+            if not 0 <= due <= now:
+                continue
+            if failures:
+                held[own] = (seq, category, failures, -1)  # it waits for the attempt that is asked for now
+                asked.append((*own, seq, category))
+            else:
+                del held[own]
+        self._hold(held, None)  # the timer that has fired is gone
+        if asked:
+            yield self._out(asked, True)
+
+
+def _plain(value):
+    """A key's value as state holds it: null for what pandas makes of one."""
+    return None if value is None or value != value else value
+
+
+def _whole(value):
+    return None if value is None else int(value)
+
+
+def retries(attempts: DataFrame, keys: list[str], keep_ms: int = KEEP_MS, first_ms: int = FIRST_MS, longest_ms: int = LONGEST_MS, buckets: int = BUCKETS) -> DataFrame:
+    """A stream of attempts (keys, seq, category) to the stream of rows out. buckets: fixed with the checkpoint."""
     kinds = dict(attempts.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), OUT])
-    rows = attempts.select(*keys, "seq", "category").groupBy(*keys)
-    return rows.transformWithStateInPandas(Retry(keys, keep_ms, first_ms, longest_ms), schema, "Update", "ProcessingTime")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    given = [F.col(k).cast("string") if kinds[k] in WHOLE else F.col(k) for k in keys]  # whole numbers beside nulls would become doubles
+    rows = attempts.select(*[g.alias(k) for g, k in zip(given, keys, strict=True)], "seq", "category", bucket.alias("_bucket")).groupBy("_bucket")
+    return rows.transformWithStateInPandas(Retry(keys, kinds, keep_ms, first_ms, longest_ms), schema, "Update", "ProcessingTime")
 
 
 @contextmanager

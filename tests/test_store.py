@@ -166,6 +166,28 @@ def test_retries_with_bounded_state(spark, tmp_path):
     assert max(kept[2:]) <= 4 * (12 + len(want)) < 4 * len(last)
 
 
+def test_retries_of_many_keys_in_few_buckets(spark, tmp_path):
+    """A bucket's keys are handled together, with one timer; whole-number keys, null ones among them, keep their digits."""
+    rng, schema, last, seq = random.Random(3), spark.createDataFrame([], "task long, model string, seq long, category string").schema, {}, 0
+    tasks = [None, 2**60 + 1, 2**60 + 2, *range(150)]
+    store = RecordStore(spark, str(tmp_path / "s"), ["task", "model"], order="order")
+    for n in range(2):
+        rows = []
+        for _ in range(400):
+            seq += 1
+            row = (rng.choice(tasks), rng.choice([None, "m"]), seq, rng.choice(["APIError", "Passed", None]))
+            rows.append(row)
+            last[row[:2]] = row[3]
+        spark.createDataFrame(rng.sample(rows, 400), schema).coalesce(1).write.json(str(tmp_path / "in" / f"{n}"))
+        attempts = records.attempts(spark, str(tmp_path / "in" / "*"), schema, files_per_trigger=1)
+        query = retry.start_retries(spark, attempts, ["task", "model"], store, str(tmp_path / "state"), buckets=4)
+        query.awaitTermination()
+    assert {(r.task, r.model) for r in retry.pending(store).collect()} == {k for k, c in last.items() if c == "APIError"}
+    assert store.current().count() == len(last)
+    # no timers of their own for each key
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= len(last) + 3 * 4
+
+
 @pytest.mark.parametrize(("height", "width"), [(8, 8), (3, 2), (1, 1), (13, 30)])
 def test_similarity_of_pictures(spark, height, width):
     rng = np.random.default_rng(height)
