@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -27,6 +28,8 @@ from .common import materialize, parallelism, small_batches, spelled, tidied
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MERGE = 2048, 2048, 3, 2, 6, 4, 8
 CACHED_WORDS = 400_000
+#: a comma or a full stop at the end of a word, behind a letter of Latin-1
+MARKS = re.compile(r"(?<=[A-Za-zªµºÀ-ÖØ-öø-ÿ])([,.])(?=[ \n]|\Z)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,10 +46,10 @@ class WordCache:
     """ids of whole texts by the tokenizers library, put together from those of their blank-separated words, which this
     tokenizer's rules allow: its pattern never crosses white space, and its normaliser works on characters.
 
-    Words are cut further where the rules cut them anyway: a comma or a full stop behind a letter is a piece by itself. What
+    Words are cut further where the rules cut them anyway: a comma or a full stop behind a letter is a piece by itself, and remembered once for all words. What
     is left is mostly one run of letters, that is one piece, which goes straight to the library's model (in lower case, its bytes
-    spelled as the model spells them); every other word goes through the whole tokenizer. The cache is bounded; it is
-    emptied when full.
+    spelled as the model spells them); every other word goes through the whole tokenizer. The cache is bounded; when
+    full it keeps the words of the next texts alone.
     """
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
@@ -61,36 +64,30 @@ class WordCache:
     def _learn(self, words) -> None:
         from array import array
 
-        known, letters, spell, cut = self.known, self.letters, self.model.tokenize, []
-        others, last = set(), chr(255)
+        known, letters, spell, last = self.known, self.letters, self.model.tokenize, chr(255)
+        others = []
         for word in words:
-            base = word
-            if word[-1:] in (",", ".") and word[-2:-1].isalpha() and word[-2] <= last:
-                base = word[:-1]
-                cut.append((word, base, word[-1]))
-                if word[-1] not in known:
-                    others.add(word[-1])
-                if base in known:
-                    continue
-            if base.isalpha() and max(base) <= last:
-                known[base] = array("I", [t.id for t in spell(base.translate(letters))]).tobytes()
+            if not word.isalpha():
+                others.append(word)
+            elif word.isascii():
+                known[word] = array("I", [t.id for t in spell(word.lower())]).tobytes()
+            elif max(word) <= last:
+                known[word] = array("I", [t.id for t in spell(word.translate(letters))]).tobytes()
             else:
-                others.add(base)
-        others = list(others)
+                others.append(word)
         for at in range(0, len(others), 1024):
             part = others[at : at + 1024]
             got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
-        for word, base, mark in cut:
-            known[word] = known[base] + known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [MARKS.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*split)
         if len(self.known) > self.most:
-            self.known = {}
+            self.known = {w: self.known[w] for w in words & self.known.keys()}
         known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn({w for words in split for w in words if w not in known})
+        self._learn(words.difference(known))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

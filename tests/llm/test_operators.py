@@ -330,3 +330,21 @@ def test_permutation_and_draws():
     shards = mixing.draws([1000, 0, 37, 5], [1] * 8, 3)
     assert np.array(shards).sum(axis=0).tolist() == [1000, 0, 37, 5]
     assert max(map(sum, shards)) - min(map(sum, shards)) <= 8
+
+
+def test_words_are_remembered_without_their_marks():
+    """A word is learned once, whatever mark follows it, and what is in use outlives a full cache; ids are the tokenizer's."""
+    from tallyspark.llm import packing
+
+    texts = ["Alpha, alpha. alpha", "alpha,\nÄpfel. 12, (x), x.. a,b ,. é, ж, \t, alpha.", "", " , Übung,", "µ, ª. end."]
+    cache = packing.WordCache(packing.default_tokenizer(), most=3)
+    for _ in range(2):
+        for text in texts:
+            ids = cache.encode([text])[0]
+            want = cache.tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids == b"".join(i.to_bytes(4, "little") for i in want)
+    cache.encode(["alpha, beta."])
+    known = cache.known
+    assert {"alpha", "beta", ",", "."} <= known.keys() and not {"alpha,", "beta."} & known.keys()
+    cache.encode(["alpha"])
+    assert cache.known.keys() == {"alpha"}
